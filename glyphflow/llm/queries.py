@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, ngram_join, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.query,
+        "op9_ngram_join": ngram_join.query,
         "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op9_ngram_join": ngram_join.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
     }
