@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, substring_dedup
+from . import decontaminate, embedding_dedup, ngram_join, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.query,
         "op2_substring_dedup": substring_dedup.query,
+        "op7_embedding_dedup": embedding_dedup.query,
         "op9_ngram_join": ngram_join.query,
         "op10_decontaminate": decontaminate.query,
     }
@@ -16,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op9_ngram_join": ngram_join.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
     }
