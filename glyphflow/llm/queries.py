@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, ngram_join, sharding, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, ngram_join, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
         "op2_substring_dedup": substring_dedup.query,
+        "op3_language_id": language_id.query,
         "op7_embedding_dedup": embedding_dedup.query,
         "op9_ngram_join": ngram_join.query,
         "op10_decontaminate": decontaminate.query,
