@@ -15,8 +15,8 @@ start).  Two levels find those windows without moving one row per window:
 
 Each task first settles what repeats within its own batch, so a passage that a
 third of all documents share sends one row per batch, not one per document.  Both
-shuffles carry hashes and positions; texts are shuffled twice, to meet the
-surviving contexts and the removed ranges of their document.
+shuffles carry hashes and positions; texts are shuffled once, to meet the surviving
+contexts and then the removed ranges of their document.
 
 Defined results: a null text has no words and keeps none; a document shorter than
 the window loses nothing; a null id sorts before all others; rows with the same id
@@ -99,7 +99,7 @@ def _anchors(window: int):
             gone = _later(ids[row], lo, context)
             r, a, b = _merged(row[gone], lo[gone], hi[gone])
             stay = ~gone
-            key = hashing.mix(keys[r].view(np.uint64) + a.astype(np.uint64))  # deals the ranges that need no more look out evenly
+            key = hashing.mix(ids[r].view(np.uint64) + a.astype(np.uint64))  # deals the ranges that need no more look out evenly
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((np.zeros(stay.sum(), np.int8), np.ones(len(r), np.int8)))),
@@ -107,10 +107,9 @@ def _anchors(window: int):
                     pa.array(np.concatenate((context[stay], key)).view(np.int64)),
                     pa.array(ids[np.concatenate((row[stay], r))]),
                     pa.array(keys[np.concatenate((row[stay], r))]),
-                    pa.array(np.concatenate((lo[stay], a)).astype(np.int32)),
-                    pa.array(np.concatenate((hi[stay], b)).astype(np.int32)),
+                    pa.array(np.concatenate((lo[stay], a)) << 32 | np.concatenate((hi[stay], b))),
                 ],
-                names=["gone", "anchor", "context", "id", "tkey", "lo", "hi"],
+                names=["gone", "anchor", "context", "id", "tkey", "place"],
             )
 
     return emit
@@ -143,20 +142,21 @@ def _full_windows(window: int):
 
 def removed_ranges(rows: DataFrame, window: int) -> DataFrame:
     """(id, tkey, lo, hi): word ranges to remove of ``rows`` (id, tkey, text); ranges may overlap."""
-    found = rows.mapInArrow(_anchors(window), "gone tinyint, anchor bigint, context bigint, id bigint, tkey bigint, lo int, hi int").repartition("anchor")
-    by_context = W.partitionBy("anchor", "context", "gone").orderBy("id", "lo")
+    found = rows.mapInArrow(_anchors(window), "gone tinyint, anchor bigint, context bigint, id bigint, tkey int, place bigint").repartition("anchor")
+    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    by_context = W.partitionBy("anchor", "context", "gone").orderBy("id", start)
     by_anchor = W.partitionBy("anchor")
     settled = (
-        found.withColumn("place", F.rank().over(by_context))
+        found.withColumn("rank", F.rank().over(by_context))
         .withColumn("several", F.min("context").over(by_anchor) != F.max("context").over(by_anchor))
-        .withColumn("gone", (F.col("gone") == 1) | (F.col("place") > 1))
+        .withColumn("gone", (F.col("gone") == 1) | (F.col("rank") > 1))
         .where("gone or several")
-        .select("gone", "id", "tkey", "lo", "hi")
+        .select("gone", "id", "tkey", start.alias("lo"), end.alias("hi"))
     )
     settled = checkpoint(settled)
     survivors = settled.where("not gone").groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    full = rows.join(survivors, ["id", "tkey"]).select("id", "tkey", "text", "ranges").mapInArrow(_full_windows(window), "gone boolean, h1 bigint, h2 bigint, id bigint, tkey bigint, lo int, hi int")
-    later = full.withColumn("place", F.rank().over(W.partitionBy("h1", "h2", "gone").orderBy("id", "lo"))).where("gone or place > 1")
+    full = rows.join(survivors, ["id", "tkey"]).select("id", "tkey", "text", "ranges").mapInArrow(_full_windows(window), "gone boolean, h1 bigint, h2 bigint, id bigint, tkey int, lo int, hi int")
+    later = full.withColumn("rank", F.rank().over(W.partitionBy("h1", "h2", "gone").orderBy("id", "lo"))).where("gone or rank > 1")
     return settled.where("gone").select("id", "tkey", "lo", "hi").unionByName(later.select("id", "tkey", "lo", "hi"))
 
 
@@ -164,7 +164,7 @@ def _cut(carry: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, ranges in zip(_column(batch, "__text"), _column(batch, "__ranges")):
+            for text, ranges in zip(_column(batch, "text"), _column(batch, "ranges")):
                 words = (text.as_py() or "").encode().split()  # bytes.split() knows exactly the six white spaces
                 out = words
                 if ranges.is_valid:
@@ -184,15 +184,12 @@ def _cut(carry: list[str]):
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``carry`` columns, n_words, n_removed, kept (the kept words joined by one space)."""
-    keep = list(dict.fromkeys((id_col, *carry)))
-    own_id, own_key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(text_col)
-    rows = docs.select(own_id.alias("id"), own_key.alias("tkey"), F.col(text_col).alias("text")).where("text is not null")
-    ranges = removed_ranges(rows, window).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    named = docs.select(own_id.alias("__id"), own_key.alias("__tkey"), F.col(text_col).alias("__text"), *keep)
-    ranges = ranges.withColumnsRenamed({"id": "__rid", "tkey": "__rkey", "ranges": "__ranges"})
-    joined = named.join(ranges, (F.col("__id") == F.col("__rid")) & (F.col("__tkey") == F.col("__rkey")), "left")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words bigint, n_removed bigint, kept string"
-    return joined.select(*keep, "__text", "__ranges").mapInArrow(_cut(keep), schema)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text_col).alias("tkey"), F.col(text_col).alias("text"), *(F.col(c).alias(f"__{c}") for c in carry))
+    # without carried columns the surviving contexts and the removed ranges meet the texts in one and the same exchange
+    ranges = removed_ranges(rows.select("id", "tkey", "text"), window).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    schema = "id bigint, " + "".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry) + "n_words bigint, n_removed bigint, kept string"
+    found = rows.join(ranges, ["id", "tkey"], "left").mapInArrow(_cut(["id", *(f"__{c}" for c in carry)]), schema)
+    return found.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), *(F.col(f"__{c}").alias(c) for c in carry if c != id_col), "n_words", "n_removed", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
