@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, ngram_join, sharding, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, ngram_join, pii, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.query,
         "op3_language_id": language_id.query,
         "op7_embedding_dedup": embedding_dedup.query,
+        "op8_pii": pii.query,
         "op9_ngram_join": ngram_join.query,
         "op10_decontaminate": decontaminate.query,
     }
