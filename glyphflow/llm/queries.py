@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, ngram_join, pii, sharding, substring_dedup
+from . import decontaminate, embedding_dedup, html_extract, language_id, ngram_join, pii, sharding, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sharding": sharding.query,
         "op2_substring_dedup": substring_dedup.query,
         "op3_language_id": language_id.query,
+        "op4_url_filter": url_filter.query,
+        "op5_html_extract": html_extract.query,
         "op7_embedding_dedup": embedding_dedup.query,
         "op8_pii": pii.query,
         "op9_ngram_join": ngram_join.query,
