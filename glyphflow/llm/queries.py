@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_extract, language_id, ngram_join, pii, sharding, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, html_extract, language_id, ngram_join, pii, sentence_pieces, sharding, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.query,
         "op4_url_filter": url_filter.query,
         "op5_html_extract": html_extract.query,
+        "op6_sentence_pieces": sentence_pieces.query,
         "op7_embedding_dedup": embedding_dedup.query,
         "op8_pii": pii.query,
         "op9_ngram_join": ngram_join.query,
