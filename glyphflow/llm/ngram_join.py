@@ -7,9 +7,11 @@ others reach a common tree as follows:
 * Sizes fall in classes whose bounds grow by one over the threshold, so two linked
   sets lie in the same class or in neighbouring ones.  For each class a set deals
   its shingles over as many segments, by hash, as two linked sets of that class can
-  differ in shingles, plus one: at least one segment of two linked sets is equal.
-  A segment's digest is the only thing that is shuffled; documents that meet in none
-  can't be linked.  This is exact for every threshold and needs no frequencies.
+  differ in shingles, plus k: at least k segments of two linked sets are equal.  A set
+  with fewer than k segments of one shingle or none leaves those out, as one of the
+  fuller ones must be equal then.  A segment's digest is the only thing that is
+  shuffled; documents that meet in none can't be linked.  This is exact for every
+  threshold and needs no frequencies.
 * Documents that meet directly or through others form a family.  Families, or tiles
   of two chunks of a large family, are joined in one task each: their ordered sets
   go into a path-compressed trie; a probe walks it, sharing the overlap counted so
@@ -84,17 +86,19 @@ class Threshold:
             out.append(out[-1] * self.den // self.num + 1)
         return np.array([*out, out[-1] * self.den // self.num + 1], dtype=np.int64)
 
-    def segments(self, bounds: np.ndarray) -> np.ndarray:
-        """For each class, one more than linked sets can differ in if the smaller lies in it."""
+    def segments(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each class the number of segments, and how many of them at least are equal if the smaller set lies in it."""
         a = bounds[1:] - 1
-        return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
+        differ = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        spare = 1 + differ * (self.den - self.num) // self.den
+        return differ + spare, spare
 
 
 def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """(document, digest) of all segments of all classes a document takes part in."""
     size = np.bincount(row, minlength=n_docs)
     bounds = t.bounds(int(size.max(initial=1)))
-    count = t.segments(bounds)
+    count, spare = t.segments(bounds)
     own = np.searchsorted(bounds, size, side="right") - 1
     deal, value = hashing.mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)), hashing.mix(h + np.uint64(0x165667B19E3779F9))
     docs, digests = [], []
@@ -107,9 +111,12 @@ def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -
         place = base[r] + (deal[keep] % m[r].astype(np.uint64)).astype(np.int64)
         total = _summed(place, value[keep], int(m.sum()))
         doc = np.repeat(np.arange(n_docs), m)
+        weak = np.bincount(place, minlength=len(doc)) <= 1
+        full = np.bincount(doc[weak], minlength=n_docs) < spare[np.maximum(c, 0)]
         seg = np.arange(len(doc)) - base[doc]
-        docs.append(doc)
-        digests.append(hashing.mix(total + hashing.mix(c[doc].astype(np.uint64) * np.uint64(0x100000001) + seg.astype(np.uint64) + np.uint64(1))))
+        sent = ~(weak & full[doc])
+        docs.append(doc[sent])
+        digests.append(hashing.mix(total + hashing.mix(c[doc].astype(np.uint64) * np.uint64(0x100000001) + seg.astype(np.uint64) + np.uint64(1)))[sent])
     return np.concatenate(docs), np.concatenate(digests)
 
 
