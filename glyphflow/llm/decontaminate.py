@@ -150,12 +150,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_fraction: float
     if how != "span":
         raise ValueError("how must be 'document' or 'span'")
 
+    names = docs.columns
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             text = [remove_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist())]
-            columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
 
