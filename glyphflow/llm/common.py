@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator; it sorts before every other.
 NULL_ID = -(1 << 63)
+#: So many edges, counted first, may be joined in one task: 16 MB.
+ONE_TASK_EDGES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +43,43 @@ def _with_min(edges: DataFrame) -> DataFrame:
     return edges.join(least.hint("merge"), "a")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that come, by merging the smaller label into the larger's tree."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            label[max(x, y)] = min(x, y)
+    roots = np.array([find(i) for i in range(len(ids))], dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[roots])], names=["id", "component_id"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, component_id) for every id that has an edge; component_id is the least id of the component.
 
     ``edges`` has two long columns, ``a`` and ``b``, in any order, with repeats and
-    loops allowed.  Alternates large-star and small-star steps, whose work per
-    round is in proportion to the edges and whose rounds are logarithmic, until a
-    round changes nothing.  No edge or label reaches the driver: only a count and
-    a checksum per round do.
+    loops allowed.  Up to ``one_task`` different edges are joined by one executor task,
+    whose memory that number bounds.  More alternate large-star and small-star steps,
+    whose work per round is in proportion to the edges and whose rounds are
+    logarithmic, until a round changes nothing.  No edge or label reaches the driver:
+    only a count and a checksum per round do.
     """
     up = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     up = checkpoint(up)
+    if up.count() <= one_task:
+        return checkpoint(up.coalesce(1).mapInArrow(_union_find, "id bigint, component_id bigint"))
     sign = None
     for _ in range(max_rounds):
         both = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,8 +12,10 @@ others reach a common tree as follows:
   fuller ones must be equal then.  A segment's digest is the only thing that is
   shuffled; documents that meet in none can't be linked.  This is exact for every
   threshold and needs no frequencies.
-* Documents that meet directly or through others form a family.  Families, or tiles
-  of two chunks of a large family, are joined in one task each: their ordered sets
+* Documents that meet directly or through others are compared by a byte of each of
+  their segments' digests: linked ones have k bytes in common at least.  Those that
+  have, directly or through others, form a family.
+* Families, or tiles of two chunks of a large one, are joined in one task each: their ordered sets
   go into a path-compressed trie; a probe walks it, sharing the overlap counted so
   far among all sets below a node, and leaves a subtree when the shingles that
   remain on either side can't reach the threshold, or when all sets below are
@@ -42,6 +44,8 @@ from .common import NULL_ID, checkpoint, connected_components, table
 #: A tile's sets hold at most about twice so many shingles or documents (a single larger document is a chunk of its own).
 CHUNK_SHINGLES = 1_000_000
 CHUNK_DOCS = 2_000
+#: Sets of a chunk when marks are compared; a mark is a byte.
+CHUNK_MARKS = 4_000
 
 
 def shingle_sets(w: hashing.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +98,13 @@ class Threshold:
         return differ + spare, spare
 
 
-def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(document, digest) of all segments of all classes a document takes part in."""
+def _segments(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> Iterator[tuple[np.ndarray, ...]]:
+    """For a document's own class and the one before: (class, segments of each document, digests, fullness, and least number of equal ones)."""
     size = np.bincount(row, minlength=n_docs)
     bounds = t.bounds(int(size.max(initial=1)))
     count, spare = t.segments(bounds)
     own = np.searchsorted(bounds, size, side="right") - 1
     deal, value = hashing.mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)), hashing.mix(h + np.uint64(0x165667B19E3779F9))
-    docs, digests = [], []
     for back in (0, 1):
         c = own - back
         m = np.where((size > 0) & (c >= 0), count[np.maximum(c, 0)], 0)
@@ -109,33 +112,53 @@ def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -
         keep = m[row] > 0
         r = row[keep]
         place = base[r] + (deal[keep] % m[r].astype(np.uint64)).astype(np.int64)
-        total = _summed(place, value[keep], int(m.sum()))
+        yield c, m, _summed(place, value[keep], int(m.sum())), np.bincount(place, minlength=int(m.sum())), spare[np.maximum(c, 0)]
+
+
+def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(document, digest) of the segments of all classes a document takes part in, without weak ones where they can't matter."""
+    docs, digests = [], []
+    for c, m, total, filled, spare in _segments(row, h, n_docs, t):
         doc = np.repeat(np.arange(n_docs), m)
-        weak = np.bincount(place, minlength=len(doc)) <= 1
-        full = np.bincount(doc[weak], minlength=n_docs) < spare[np.maximum(c, 0)]
-        seg = np.arange(len(doc)) - base[doc]
-        sent = ~(weak & full[doc])
+        weak = filled <= 1
+        sent = ~(weak & (np.bincount(doc[weak], minlength=n_docs) < spare)[doc])
+        seg = np.arange(len(doc)) - (np.cumsum(m) - m)[doc]
         docs.append(doc[sent])
         digests.append(hashing.mix(total + hashing.mix(c[doc].astype(np.uint64) * np.uint64(0x100000001) + seg.astype(np.uint64) + np.uint64(1)))[sent])
     return np.concatenate(docs), np.concatenate(digests)
 
 
+def segment_marks(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """For both classes of a document: (class, how many marks two linked sets have in common at least, one byte for each segment)."""
+    out = []
+    for c, m, total, _, spare in _segments(row, h, n_docs, t):
+        raw, cut = hashing.mix(total).astype(np.uint8).tobytes(), np.concatenate(([0], np.cumsum(m))).tolist()
+        out.append((c, spare, [raw[x:y] for x, y in zip(cut[:-1], cut[1:])]))
+    return out
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _sets(n: int):
+_MARKS = pa.list_(pa.struct([("class", pa.int32()), ("role", pa.int32()), ("least", pa.int32()), ("marks", pa.binary())]))
+
+
+def _sets(n: int, t: Threshold):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, h1, h2 = [], [], []
+            marks: list[dict] = []
             for w in hashing.word_slices(_column(batch, "text"), hashing.LOWER):
                 row, h = shingle_sets(w, n)
                 a, b = set_digests(row, h, w.n_docs)
                 sizes.append(np.bincount(row, minlength=w.n_docs))
                 h1.append(a)
                 h2.append(b)
+                both = segment_marks(row, h, w.n_docs, t)
+                marks += [[{"class": int(c[d]), "role": role, "least": int(least[d]), "marks": x[d]} for role, (c, least, x) in enumerate(both) if x[d]] for d in range(w.n_docs)]
             if sizes:
-                yield pa.RecordBatch.from_arrays([_column(batch, "id"), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64))], names=["id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([_column(batch, "id"), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), pa.array(marks, _MARKS)], names=["id", "n", "h1", "h2", "marks"])
 
     return emit
 
@@ -176,6 +199,44 @@ def _meetings(n: int, t: Threshold):
     return emit
 
 
+def _common_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the pairs of a tile that have enough marks in common.
+
+    Rows come by tile; in it, sets of the class (role 0) meet each other and those of the next class (role 1).
+    """
+    columns = ("family", "class", "low", "high")
+    key, rows = None, []
+
+    def found() -> list[tuple[int, int]]:
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        role, chunk = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        marks = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        least, label, forest = rows[0][3], np.arange(len(rows)), []
+        for i in np.flatnonzero(role == 0).tolist():
+            near = (marks == marks[i]).sum(axis=1) >= least
+            if key[2] != key[3]:
+                near &= chunk != chunk[i]
+            have, at = np.unique(label[near], return_index=True)
+            for old, j in zip(have.tolist(), np.flatnonzero(near)[at].tolist()):
+                if old != label[i]:
+                    forest.append((int(ids[i]), int(ids[j])))
+                    label[label == old] = label[i]
+        return forest
+
+    def out(forest: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([b for _, b in forest], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        forest: list[tuple[int, int]] = []
+        for now, *r in zip(zip(*(_column(batch, c).to_pylist() for c in columns)), *(_column(batch, c).to_pylist() for c in ("id", "role", "chunk", "least", "marks"))):
+            if now != key:
+                forest += found() if rows else []
+                key, rows = now, []
+            rows.append(r)
+        yield out(forest)
+    yield out(found() if rows else [])
+
+
 def _family_sets(n: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +368,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_shingles, component_id (the least id that links reach)."""
     t = Threshold(*threshold)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = checkpoint(rows.mapInArrow(_sets(n), "id bigint, n bigint, h1 bigint, h2 bigint"))
+    sets = checkpoint(rows.mapInArrow(_sets(n, t), "id bigint, n bigint, h1 bigint, h2 bigint, marks array<struct<class:int,role:int,least:int,marks:binary>>"))
     equal = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = checkpoint(sets.where("n > 0").join(equal.hint("merge"), ["h1", "h2"]).select("id", "rep", "n").distinct())
 
@@ -315,7 +376,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = met.selectExpr("a", "coalesce(b, min(if(b is null, a, null)) over (partition by key)) as b").where("a != b").distinct()
     to_a, to_b = (reps.groupBy("id").agg(F.min("rep").alias("rep")).select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
     meetings = met.join(to_a, "a").join(to_b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    families = connected_components(meetings).join(reps.groupBy("id").agg(F.max("n").alias("n")), "id").select("id", "n", F.col("component_id").alias("family"))
+    met_by = connected_components(meetings).select("id", F.col("component_id").alias("family"))
+    marked = sets.where("n > 0").join(met_by, "id").dropDuplicates(["id", "h1", "h2"]).select("family", "id", F.explode("marks").alias("m")).select("family", "id", "m.*")
+    several = marked.groupBy("family", "class").agg(F.count("*").alias("rows")).where("rows > 1").select("family", "class", F.ceil(F.col("rows") / CHUNK_MARKS).cast("int").alias("chunks"))
+    marked = marked.join(several.hint("merge"), ["family", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    marked = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    marked = marked.select("family", "class", "low", "high", "id", "role", "chunk", "least", "marks").repartition("family", "class", "low", "high").sortWithinPartitions("family", "class", "low", "high")
+    alike = connected_components(marked.mapInArrow(_common_marks, "a bigint, b bigint"))
+    families = alike.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id").select("id", "n", F.col("component_id").alias("family"))
     size = families.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_DOCS)).cast("int").alias("chunks"))
     families = families.join(size.hint("merge"), "family").select("id", "family", "chunks")
 

@@ -147,6 +147,7 @@ def test_components(spark):
         if a != b:
             p, q = sorted((find(a), find(b)))
             label[q] = p
-    got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: find(i) for i in label}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for one_task in (1_000_000, 0):
+        got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == {i: find(i) for i in label}
+        assert connected_components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
