@@ -35,15 +35,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .common import table
 
 LONG_UNIT = 64
-#: Least number of buckets, and how many there are for each shuffle partition if that gives more.
-BUCKETS, BUCKETS_EACH = 1024, 16
+#: Least number of buckets, and how many there are for each task of the lattice if that gives more.
+BUCKETS, BUCKETS_EACH = 1024, 4
+#: Tasks of the lattice for each shuffle partition: a unit has some 25 edges, which are sorted in memory.
+_TASKS_EACH = 4
 #: Bytes of text in a batch; a longer document is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: What a character outside the vocabulary costs beyond the rarest piece.
 _UNKNOWN_PENALTY = 10.0
+_LEAD = 3
+#: Joins units on their way to a bucket; a unit that holds it is split where it is met.
+_MARK = "\0"
 
 
 @dataclass
@@ -99,6 +105,14 @@ class Pieces:
             at = start
         return out[::-1]
 
+    def reach(self) -> dict[str, int]:
+        """For each beginning of _LEAD characters the length of the longest piece that has it."""
+        out: dict[str, int] = {}
+        for t in self.texts:
+            if len(t) >= _LEAD:
+                out[t[:_LEAD]] = max(out.get(t[:_LEAD], 0), len(t))
+        return out
+
     def decoder(self) -> list[bytes]:
         """Bytes of each id."""
         out = [b""] * self.n_ids
@@ -119,30 +133,31 @@ def _bucket(unit: str, buckets: int) -> int:
     return zlib.crc32(unit.encode()) % buckets
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
     """(key, rows, texts) of at most BATCH_BYTES; the key follows from the texts and their order alone."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text_col))
+        _, offsets = hashing.text_buffers(column)
         at = 0
-        while at < len(texts):
-            size, to, digest = 0, at, hashlib.blake2b(digest_size=8)
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= BATCH_BYTES):
-                size += len(texts[to] or "")
-                digest.update(b"\0" if texts[to] is None else texts[to].encode() + b"\1")
-                to += 1
-            yield int.from_bytes(digest.digest(), "little", signed=True), batch.slice(at, to - at), texts[at:to]
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+            texts = column.slice(at, to - at).to_pylist()
+            digest = hashlib.blake2b(digest_size=8)
+            for t in texts:
+                digest.update(b"\0" if t is None else t.encode() + b"\1")
+            yield int.from_bytes(digest.digest(), "little", signed=True), batch.slice(at, to - at), texts
             at = to
 
 
-def _batch_units(pieces: Pieces, texts: list[str | None], buckets: int) -> list[list[str]]:
-    """The distinct units of some texts by bucket, each in order."""
-    found: set[str] = set()
-    for t in texts:
-        if t:
-            found.update(pieces.units.findall(" " + t))
+def _text_units(pieces: Pieces, text: str | None) -> list[str]:
+    return pieces.units.findall(" " + text) if text else []
+
+
+def _by_bucket(found: set[str], buckets: int) -> list[list[str]]:
+    """Distinct units by bucket, each in order."""
     out: list[list[str]] = [[] for _ in range(buckets)]
     for u in found:
-        if len(u) <= LONG_UNIT:
+        if len(u) <= LONG_UNIT and _MARK not in u:
             out[_bucket(u, buckets)].append(u)
     for b in out:
         b.sort()
@@ -150,32 +165,42 @@ def _batch_units(pieces: Pieces, texts: list[str | None], buckets: int) -> list[
 
 
 def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(bucket, unit, ids) of distinct units (bucket, unit), which are and stay partitioned by bucket."""
+    """(bucket, unit, ids, seen) of distinct units (bucket, unit, seen), which are and stay partitioned by bucket."""
     spark = units.sparkSession
-    table_ = spark.createDataFrame(list(zip(pieces.texts, map(int, pieces.ids), map(float, pieces.scores))), "piece string, id int, score double")
-    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("bucket", "unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.longest, F.length("unit")))).alias("e"))
-    spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
-    # the vocabulary of a model file, about 1 MB
-    edges = spans.join(F.broadcast(table_), "piece", "left").where("id is not null or e = s + 1")
-    # end, start and id in one long, which sorts by end and start
-    place = (F.shiftleft(F.col("e").cast("long"), 48)) + F.shiftleft(F.col("s").cast("long"), 32) + F.coalesce(F.col("id"), F.lit(0xFFFFFF)).cast("long")
-    lattice = edges.select("bucket", "unit", place.alias("place"), F.coalesce("score", F.lit(float(pieces.unknown))).alias("score")).groupBy("bucket", "unit").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("edges"))
+    unknown = pieces.n_ids  # stands for a character without a piece
+    # both are made of the vocabulary of a model file, about 1 MB: pieces, and how far pieces with some beginning reach
+    known = F.broadcast(spark.createDataFrame(list(zip(pieces.texts, map(int, pieces.ids))), "piece string, id int"))
+    reach = F.broadcast(spark.createDataFrame(list(pieces.reach().items()), "lead string, longest int"))
+    starts = units.select("bucket", "unit", "seen", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s")).withColumn("lead", F.substring("unit", F.col("s") + 1, F.lit(_LEAD)))
+    far = F.least(F.col("s") + F.coalesce("longest", F.lit(_LEAD - 1)), F.length("unit"))
+    spans = starts.join(reach, "lead", "left").select("bucket", "unit", "seen", "s", F.explode(F.sequence(F.col("s") + 1, far)).alias("e"))
+    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)")).join(known, "piece", "left").where("id is not null or e = s + 1")
+    # end, start and id in one long, which sorts by end and then start
+    place = F.shiftleft(F.col("e").cast("long"), 48) + F.shiftleft(F.col("s").cast("long"), 32) + F.coalesce("id", F.lit(unknown)).cast("long")
+    lattice = edges.select("bucket", "unit", "seen", place.alias("place")).groupBy("bucket", "unit").agg(F.min("seen").alias("seen"), F.sort_array(F.collect_list("place")).alias("edges"))
+    scores = [pieces.unknown] * (pieces.n_ids + 1)
+    for i, x in zip(pieces.ids, pieces.scores):
+        scores[i] = float(x)
+    # one text literal, which folds to an array, is planned faster than thousands of numbers
+    score_of = F.split(F.lit(",".join(map(repr, scores))), ",").cast("array<double>")
 
     def end(x: Column) -> Column:
-        return F.shiftright(x["place"], 48).cast("int")
+        return F.shiftright(x, 48).cast("int")
 
     def start(x: Column) -> Column:
-        return F.shiftright(x["place"], 32).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        return F.shiftright(x, 32).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+    def piece_id(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
     def step(best: Column, x: Column) -> Column:
-        score = F.get(best, start(x))["score"] + x["score"]
-        new = F.array(F.struct(score.alias("score"), start(x).alias("s"), x["place"].bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("id")))
+        score = F.get(best, start(x))["score"] + F.get(score_of, piece_id(x))
+        new = F.array(F.struct(score.alias("score"), start(x).alias("s"), piece_id(x).alias("id")))
         size = F.size(best)
         return F.when(size == end(x), F.concat(best, new)).when(score > F.get(best, size - 1)["score"], F.concat(F.slice(best, F.lit(1), size - 1), new)).otherwise(best)
 
     origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("id")))
-    solved = lattice.select("bucket", "unit", F.aggregate("edges", origin, step).alias("best"))
+    solved = lattice.select("bucket", "unit", "seen", F.aggregate("edges", origin, step).alias("best"))
 
     bytes_of = F.array(*(F.lit(i) for i in pieces.byte_ids))
 
@@ -185,11 +210,11 @@ def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     def back(acc: Column, _: Column) -> Column:
         x = F.get(F.col("best"), acc["at"])
-        ids = F.when(x["id"] == 0xFFFFFF, fallback(F.col("unit"), x["s"])).otherwise(F.array(x["id"]))
+        ids = F.when(x["id"] == unknown, fallback(F.col("unit"), x["s"])).otherwise(F.array(x["id"]))
         return F.when(acc["at"] > 0, F.struct(x["s"].alias("at"), F.concat(ids, acc["ids"]).alias("ids"))).otherwise(acc)
 
     walk = F.aggregate("best", F.struct((F.size("best") - 1).alias("at"), F.expr("cast(array() as array<int>)").alias("ids")), back)["ids"]
-    return solved.select("bucket", "unit", walk.alias("ids"))
+    return solved.select("bucket", "unit", walk.alias("ids"), "seen")
 
 
 def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None) -> DataFrame:
@@ -197,25 +222,27 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
     spark, columns = docs.sparkSession, docs.columns
     pieces = pieces or Pieces.load(default_model())
     sent = spark.sparkContext.broadcast(pieces)
-    buckets = max(BUCKETS, BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(*columns, F.col(text_col).alias("__text"))
+    partitions = _TASKS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, BUCKETS_EACH * partitions)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, texts in _text_batches(batches):
-            found = [(b, u) for b, u in enumerate(_batch_units(sent.value, texts, buckets)) if u]
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array([b for b, _ in part], pa.int32()), pa.array([u for _, u in part], pa.list_(pa.string()))], names=["batch", "bucket", "units"])
+        for key, _, texts in _text_batches(batches, text_col):
+            distinct: set[str] = set()
+            for t in texts:
+                distinct.update(_text_units(sent.value, t))
+            found = [(b, u) for b, u in enumerate(_by_bucket(distinct, buckets)) if u]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([_MARK.join(u) for _, u in found], pa.string())], names=["batch", "bucket", "units"])
 
-    dealt = docs.select(F.col(text_col).alias("__text")).mapInArrow(units_of, "batch bigint, bucket int, units array<string>").repartition("bucket")
-    distinct = dealt.select(F.col("bucket").alias("bucket"), F.explode("units").alias("unit")).distinct()
+    dealt = docs.select(text_col).mapInArrow(units_of, "batch bigint, bucket int, units string").repartition(partitions, "bucket")
+    # the batch goes along so that both readers of the dealt units have the same columns and share one exchange
+    distinct = dealt.select(F.col("bucket").alias("bucket"), F.col("batch").alias("seen"), F.explode(F.split("units", _MARK)).alias("unit")).groupBy("bucket", "unit").agg(F.min("seen").alias("seen"))
 
     def answered_in(left: pa.Table, right: pa.Table) -> pa.Table:
         """The ids of each batch's units of one bucket, in the order they came in."""
         known = dict(zip(right["unit"].to_pylist(), (np.asarray(x.values.to_numpy(), dtype=np.int32).tobytes() for x in right["ids"])))
         keys, counts, ids = [], [], []
         for key, units in zip(left["batch"].to_pylist(), left["units"].to_pylist()):
-            found = [known[u] for u in units]
+            found = [known[u] for u in units.split(_MARK)]
             keys.append(key)
             counts.append(np.array([len(x) // 4 for x in found], dtype=np.uint8).tobytes() if max(map(len, found)) < 1024 else np.array([len(x) // 4 for x in found], dtype=np.int32).tobytes())
             ids.append(b"".join(found))
@@ -225,14 +252,14 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
     answers = dealt.groupBy("bucket").cogroup(unit_ids(distinct, pieces).groupBy("bucket")).applyInArrow(answered_in, "batch bigint, bucket int, counts binary, ids binary")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for key, rows_, _ in _text_batches(batches):
+        squeeze = zstandard.ZstdCompressor(level=6)
+        for key, rows_, _ in _text_batches(batches, text_col):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows_.schema) as writer:
                 writer.write_batch(rows_)
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], names=["batch", "rows"])
 
-    blobs = source.mapInArrow(packed, "batch bigint, rows binary")
+    blobs = docs.mapInArrow(packed, "batch bigint, rows binary")
     out_type = pa.list_(pa.int32())
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -250,15 +277,17 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
         for blob in left["rows"]:
             raw = blob.as_py()
             batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_next_batch()
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(columns.index(text_col)).to_pylist()
+            units_of_each = [_text_units(own, t) for t in texts]
             if known is None:  # batches with one key have the same texts
                 known = Units()
-                for b, units in enumerate(_batch_units(own, texts, buckets)):
+                for b, units in enumerate(_by_bucket(set().union(*units_of_each), buckets)):
                     counts, flat = answered.get(b, (b"", b""))
                     if len(counts) in (len(units), 4 * len(units)):
                         cut = np.concatenate(([0], np.cumsum(np.frombuffer(counts, dtype=np.uint8 if len(counts) == len(units) else np.int32), dtype=np.int64))) * 4
                         known.update((u, flat[x:y]) for u, x, y in zip(units, cut[:-1].tolist(), cut[1:].tolist()))
-            ids = [None if t is None else b"".join(map(known.__getitem__, own.units.findall(" " + t))) if t else b"" for t in texts]
+            ids = [None if t is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, units_of_each)]
+            del units_of_each
             lengths = np.array([len(x) // 4 if x else 0 for x in ids], dtype=np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), mask=np.array([x is None for x in ids] + [False]))
             values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), dtype=np.int32))
