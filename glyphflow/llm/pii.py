@@ -43,12 +43,23 @@ _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
+# A credential is a key, '=' or ':' and a value of any length, with white space and quotes (escaped ones, too) as they come.
+# Keys are entered at their first character only.  A quoted value that may hold white space wants a telling key: else
+# it could swallow a credential inside.  Nor may a value be such a key itself, or what follows a url's scheme.
+_NAMED = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private)[_-]?key|auth|credential)"
+_KEY = r"(?![0-9])[A-Za-z0-9_-]{3,}+"
+_SEPARATOR = r"\\?[\"']?\s*+(?::=|=>|[=:])\s*+"
+_NO_KEY = rf"(?!//)(?![A-Za-z0-9_-]*?{_NAMED}[A-Za-z0-9_-]*+\\?[\"']?\s*+[=:])"
+_PLAIN = rf"\\?[\"']?{_NO_KEY}[^\s\"'<>,;&]{{8,}}+[\"']?"
+_QUOTED = r"\\?\"[^\"\r\n]{8,}+\"|\\?'[^'\r\n]{8,}+'"
+_SECRET = rf"(?<![A-Za-z0-9_-])(?:(?=[A-Za-z0-9_-]*?{_NAMED}){_KEY}{_SEPARATOR}(?:{_QUOTED}|(?:(?i:bearer|basic|token)\s++)?{_PLAIN})|{_KEY}{_SEPARATOR}{_PLAIN})"
+
 #: Candidates beyond the base patterns: (kind, pattern).
 _WIDE = (
     ("phone", r"(?<![0-9+().-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,8}+"),
     ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
-    ("secret", r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{3,24}[=:][^\s\"'<>,;&]{8,128}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[a-z]_[A-Za-z0-9]{36}(?![A-Za-z0-9]))"),
+    ("secret", rf"{_SECRET}|(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|gh[a-z]_[A-Za-z0-9]{{36}}(?![A-Za-z0-9]))"),
 )
 #: What the shape labeler wants of a candidate or base match.
 _SHAPES = {
@@ -56,14 +67,14 @@ _SHAPES = {
     "ip": rf"^(?:{_OCTET}(?:\.{_OCTET}){{3}}|[0-9A-Fa-f:]{{15,39}})$",
     "card": r"^(?:4[0-9]{12}(?:[0-9]{3})?|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|6[0-9]{15,18})$",
     "phone": r"^(?:\+[1-9]|\([2-9]|[2-9])",
-    "secret": r"^(?=.*[0-9])(?=.*[A-Za-z]).{12,}$",
+    "secret": r"(?s)^(?=.*[0-9])(?=.*[A-Za-z]).{12,}$",
 }
 _GAZETTEER = {
     "email": r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|ch|at)$",
     "ip": r"^(?:[1-9]|[0-9A-Fa-f]{1,4}:)",
     "card": r"^(?:4|5[1-5]|34|37|6011|65|35)",
     "phone": r"^(?:\+1|\+3[0-9]|\+4[0-9]|\+[5-9]|\()",
-    "secret": r"(?i)^(?:[a-z_]*(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[a-z_]*[=:]|AKIA|ASIA|gh[a-z]_)",
+    "secret": rf"^(?:[A-Za-z0-9_-]*{_NAMED}[A-Za-z0-9_-]*{_SEPARATOR}|(?:{_KEY}{_SEPARATOR}\\?[\"']?)?(?:AKIA|ASIA|gh[a-z]_))",
 }
 _CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|address)\b",
