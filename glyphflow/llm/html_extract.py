@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates found by counting subtrees.
 
 Every page is parsed leniently into a tree.  Each element's subtree is hashed over tag
-names and texts; the hashes are counted per host in Spark, once for each different page,
-and a subtree that recurs on many pages of its host is template and is deleted.  What
+names and texts; the hashes are counted per host in Spark, once for each different
+surrounding, and a subtree that recurs in many of them is template and is deleted on a
+large share of its host's pages.  What
 lies inside the page's article is spared, except for containers other than text blocks
 on more than half of the host's pages.  Elements that declare themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments go everywhere.
@@ -11,12 +12,17 @@ The text is that of the articles (``article``, ``main``, role=main), or of the b
 page without any: one block per block-level element, white space runs as one space,
 blocks in page order joined by a blank line.
 
+Surroundings are told apart by the three longest texts outside the subtree, without words
+that hold digits, and the middle one of the three counts is taken.  So near copies of a
+page count once if they differ in markup, in numbers or in one of these texts, and one
+long text that all pages share doesn't make their pages the same.
+
 Known templates are broadcast as 64-bit keys if there are at most ``BROADCAST_KEYS``;
 beyond, each page fetches its own by a join.
 
 Defined results: a null or empty html has an empty text; markup that isn't closed ends
 where HTML's implied end tags or the enclosing element end it; rows that repeat a page
-count as one page of their host; a url without host has the empty host.
+or nearly so count as one page of their host; a url without host has the empty host.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 from .url_filter import host_of
 
 #: A subtree is template if it is on so many pages of its host, and on so large a share of them.
 MIN_PAGES = 4
 MIN_SHARE = 0.1
 ARTICLE_SHARE = 0.5
+_OUTSIDE, _INSIDE = 0, 1
+_RANKS = 3
 BROADCAST_KEYS = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -50,6 +58,7 @@ _DROPPED = frozenset("nav footer aside form script style noscript template ifram
 _DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription popup modal widget toolbar pagination pager skip".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _SPACE = " \t\n\r\f"
+_DIGIT = re.compile(r"\d")
 
 
 class _Element:
@@ -171,8 +180,8 @@ def _walk(root: _Element) -> Iterator[tuple[_Element, bool, bool]]:
         yield e, inside, id(e) in holds
 
 
-def candidates(root: _Element, host: str) -> list[tuple[int, bool]]:
-    """(key, inside an article) of the subtrees that may be template."""
+def candidates(root: _Element, host: str) -> list[tuple[int, bool, _Element]]:
+    """(key, inside an article, element) of the subtrees that may be template."""
     has_article = any(_is_article(e) for e, _, _ in _walk(root))
     by = digests(root)
     out = {}
@@ -183,14 +192,51 @@ def candidates(root: _Element, host: str) -> list[tuple[int, bool]]:
             continue
         if inside and e.tag not in _BLOCKS:
             continue
-        out[_key(host, by[id(e)])] = inside
-    return list(out.items())
+        out[_key(host, by[id(e)])] = inside, e
+    return [(k, *v) for k, v in out.items()]
+
+
+class Surroundings:
+    """The page's texts in order, and of each element which of them it holds."""
+
+    def __init__(self, root: _Element):
+        self.root = root
+        self.held: dict[int, tuple[int, int]] = {}
+        texts: list[tuple[int, int]] = []  # (-length, hash), so that the least is the longest
+        todo: list[tuple[object, int]] = [(root, -1)]
+        while todo:
+            node, first = todo.pop()
+            if isinstance(node, str):
+                if words := node.split():
+                    kept = " ".join(w for w in words if not _DIGIT.search(w)).encode("utf-8", "replace")
+                    texts.append((-len(kept), int.from_bytes(hashlib.blake2b(kept, digest_size=8).digest(), "little", signed=True)))
+            elif first >= 0:
+                self.held[id(node)] = first, len(texts)
+            else:
+                todo.append((node, len(texts)))
+                todo += [(c, -1) for c in reversed(node.children)]
+        self.before, self.after = self._longest(texts), self._longest(texts[::-1])[::-1]
+
+    @staticmethod
+    def _longest(texts: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """The longest texts among the first 0, 1, 2 and so on."""
+        out: list[list[tuple[int, int]]] = [[]]
+        for t in texts:
+            best = out[-1]
+            out.append(best if not t[0] or len(best) == _RANKS and t >= best[-1] else sorted([*best, t])[:_RANKS])
+        return out
+
+    def outside(self, e: _Element | None) -> list[int]:
+        """Hashes of the longest texts outside the element, or of the page; the longest stands for missing ones."""
+        a, b = (0, 0) if e is None else self.held[id(e)]
+        found = [h for _, h in sorted(self.before[a] + self.after[b])[:_RANKS]] or [0]
+        return [found[0]] * (_RANKS - len(found)) + found
 
 
 def main_text(root: _Element, host: str, templates: set[int] | frozenset[int]) -> str:
     """The blocks of the main text, joined by blank lines."""
     has_article = any(_is_article(e) for e, _, _ in _walk(root))
-    spared = {k for k, _ in candidates(root, host)} & set(templates)
+    spared = {k for k, *_ in candidates(root, host)} & set(templates)
     by = digests(root) if spared else {}
     blocks: list[str] = []
     line: list[str] = []
@@ -230,27 +276,31 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys, insides, pages = [], [], [], []
+        hosts, keys, places, ranks, around = [], [], [], [], []
         for host, page in zip(_column(batch, "host"), _column(batch, "html")):
-            own = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            for key, inside in [(0, False), *candidates(parse(page), host)]:  # key 0 counts the host's pages
-                hosts.append(host)
-                keys.append(key)
-                insides.append(inside)
-                pages.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(insides, pa.bool_()), pa.array(pages, pa.int64())], names=["host", "key", "inside", "page"])
+            root = parse(page)
+            texts = Surroundings(root)
+            for key, inside, e in [(0, False, None), *candidates(root, host)]:  # key 0 counts the host's pages
+                place = _INSIDE if inside else _OUTSIDE
+                hosts += [host] * _RANKS
+                keys += [key] * _RANKS
+                places += [place] * _RANKS
+                ranks += range(_RANKS)
+                around += texts.outside(e)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int32()), pa.array(around, pa.int64())], names=["host", "key", "place", "rank", "around"])
 
 
 def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """(key): host-bound hashes of the template subtrees, from all pages."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_hashes, "host string, key bigint, inside boolean, page bigint")
-    # different pages first, so that a page crawled many times counts once and no key gathers the rows of its copies
-    counts = seen.groupBy("host", "key", "page").agg(F.max("inside").alias("inside")).groupBy("host", "key").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    seen = rows.mapInArrow(_hashes, "host string, key bigint, place int, rank int, around bigint")
+    # different surroundings first, so that a page crawled many times counts once and no key gathers the rows of its copies
+    counts = seen.groupBy("host", "key", "rank", "around").agg(F.max("place").alias("place")).groupBy("host", "key", "rank").agg(F.count("*").alias("n"), F.max("place").alias("place"))
+    counts = counts.groupBy("host", "key").agg(F.sort_array(F.collect_list("n"))[_RANKS // 2].alias("n"), F.max("place").alias("place"))
+    counts = checkpoint(counts.where((F.col("key") == 0) | (F.col("n") >= min_pages)))
     size = counts.where("key = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where((F.col("key") != 0) & (F.col("n") >= min_pages))
-    share = F.when(F.col("inside"), article_share).otherwise(min_share)
-    return often.join(size, "host").where(F.col("n") >= F.col("pages") * share).select("key").distinct()
+    needed = F.col("pages") * F.when(F.col("place") == _INSIDE, article_share).otherwise(min_share)
+    return counts.where("key != 0").join(size, "host").where(F.col("n") >= needed).select("key").distinct()
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
@@ -268,7 +318,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broa
 
         def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [[k for k, _ in candidates(parse(p), h)] for h, p in zip(_column(batch, "__host"), _column(batch, "__html"))]
+                found = [[k for k, *_ in candidates(parse(p), h)] for h, p in zip(_column(batch, "__host"), _column(batch, "__html"))]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__page")), pa.array(found, pa.list_(pa.int64()))], names=["__page", "keys"])
 
         rows = rows.withColumn("__page", F.sha2(F.concat_ws("\n", "__host", "__html"), 256))

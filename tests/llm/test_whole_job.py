@@ -1,6 +1,8 @@
 """Cases in which a corpus operator once did less than the whole job."""
 
-from glyphflow.llm import pii
+import random
+
+from glyphflow.llm import html_extract, pii
 
 
 def test_quoted_spaced_and_long_secrets(spark):
@@ -24,3 +26,20 @@ def test_secrets_are_scanned_in_linear_time(spark):
     texts = ["abc:" * n, "a-" * n, 'token="' * n, "token " * n, "token=" * n, "token" + " " * n, "token=" + "x1" * n, "token='" + "x\"" * n]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert pii.find_pii(df, weights={}).count() == len(texts) and pii.vote_counts(df)
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def words_of(rng, n=20):
+    return " ".join(rng.choice("abcdefgh") * 3 + rng.choice("pqrstuv") for _ in range(n))
+
+
+def test_near_copies_of_a_page_count_once(spark):
+    rng = random.Random(2)
+    body = "".join(f"<p>{words_of(rng)}</p>" for _ in range(4))
+    rows = [(i, "http://a.b/x", f"<body nonce='{i}'>{body}<p>seen {1000 + i} times</p></body>") for i in range(10)]
+    rows += [(20 + i, "http://c.d/x", f"<body>{body}<p>hello {words_of(rng, 2)}</p></body>") for i in range(10)]
+    for r in html_extract.extract(pages_of(spark, rows)).collect():
+        assert r["main_text"].count("\n\n") == 4
