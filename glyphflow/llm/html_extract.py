@@ -2,8 +2,8 @@
 
 Every page is parsed leniently into a tree.  Each element's subtree is hashed over tag
 names and texts; the hashes are counted per host in Spark, once for each different
-surrounding, and a subtree that recurs in many of them is template and is deleted on a
-large share of its host's pages.  What
+surrounding, and a subtree that recurs in many of them is template and is deleted: on a
+large share of its host's pages, or often enough whatever the host's size.  What
 lies inside the page's article is spared, except for containers other than text blocks
 on more than half of the host's pages.  Elements that declare themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments go everywhere.
@@ -43,7 +43,10 @@ from .url_filter import host_of
 MIN_PAGES = 4
 MIN_SHARE = 0.1
 ARTICLE_SHARE = 0.5
-_OUTSIDE, _INSIDE = 0, 1
+#: Outside an article, so many pages are enough on a host of any size; text blocks of fewer words recur by chance.
+MANY_PAGES = 100
+CHANCE_WORDS = 4
+_OUTSIDE, _SHORT, _INSIDE = 0, 1, 2
 _RANKS = 3
 BROADCAST_KEYS = 500_000
 
@@ -202,6 +205,7 @@ class Surroundings:
     def __init__(self, root: _Element):
         self.root = root
         self.held: dict[int, tuple[int, int]] = {}
+        self.words = [0]
         texts: list[tuple[int, int]] = []  # (-length, hash), so that the least is the longest
         todo: list[tuple[object, int]] = [(root, -1)]
         while todo:
@@ -210,6 +214,7 @@ class Surroundings:
                 if words := node.split():
                     kept = " ".join(w for w in words if not _DIGIT.search(w)).encode("utf-8", "replace")
                     texts.append((-len(kept), int.from_bytes(hashlib.blake2b(kept, digest_size=8).digest(), "little", signed=True)))
+                    self.words.append(self.words[-1] + len(words))
             elif first >= 0:
                 self.held[id(node)] = first, len(texts)
             else:
@@ -226,6 +231,10 @@ class Surroundings:
             out.append(best if not t[0] or len(best) == _RANKS and t >= best[-1] else sorted([*best, t])[:_RANKS])
         return out
 
+    def n_words(self, e: _Element) -> int:
+        a, b = self.held[id(e)]
+        return self.words[b] - self.words[a]
+
     def outside(self, e: _Element | None) -> list[int]:
         """Hashes of the longest texts outside the element, or of the page; the longest stands for missing ones."""
         a, b = (0, 0) if e is None else self.held[id(e)]
@@ -281,7 +290,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(page)
             texts = Surroundings(root)
             for key, inside, e in [(0, False, None), *candidates(root, host)]:  # key 0 counts the host's pages
-                place = _INSIDE if inside else _OUTSIDE
+                place = _INSIDE if inside else _SHORT if e and e.tag in _TEXT_BLOCKS and texts.n_words(e) < CHANCE_WORDS else _OUTSIDE
                 hosts += [host] * _RANKS
                 keys += [key] * _RANKS
                 places += [place] * _RANKS
@@ -290,7 +299,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int32()), pa.array(around, pa.int64())], names=["host", "key", "place", "rank", "around"])
 
 
-def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(key): host-bound hashes of the template subtrees, from all pages."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     seen = rows.mapInArrow(_hashes, "host string, key bigint, place int, rank int, around bigint")
@@ -300,6 +309,7 @@ def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     counts = checkpoint(counts.where((F.col("key") == 0) | (F.col("n") >= min_pages)))
     size = counts.where("key = 0").select("host", F.col("n").alias("pages"))
     needed = F.col("pages") * F.when(F.col("place") == _INSIDE, article_share).otherwise(min_share)
+    needed = F.when(F.col("place") == _OUTSIDE, F.least(needed, F.lit(float(many_pages)))).otherwise(needed)
     return counts.where("key != 0").join(size, "host").where(F.col("n") >= needed).select("key").distinct()
 
 

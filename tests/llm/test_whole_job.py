@@ -36,6 +36,14 @@ def words_of(rng, n=20):
     return " ".join(rng.choice("abcdefgh") * 3 + rng.choice("pqrstuv") for _ in range(n))
 
 
+def test_a_template_does_not_fade_with_its_host(spark):
+    rng = random.Random(1)
+    promo = "<div><p>Get the app right now</p></div>"
+    rows = [(i, f"http://a.b/{i}", f"<body>{promo if i < 110 else ''}<p>{words_of(rng)}</p><p>{'Yes.' if 500 < i < 620 else 'No ' + words_of(rng, 3)}</p></body>") for i in range(1300)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert not any("app" in t for t in got.values()) and all(t.count("\n\n") == 1 for t in got.values())
+
+
 def test_near_copies_of_a_page_count_once(spark):
     rng = random.Random(2)
     body = "".join(f"<p>{words_of(rng)}</p>" for _ in range(4))
