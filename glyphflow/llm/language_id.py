@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -189,25 +189,22 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, seed: int
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
     """At most ``per_language`` pieces of each language, those whose rows have the least hash."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return [], []
-    # a share of the hashes that holds about twice the rows wanted, so that one ordered pass over few rows is enough
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * per_language / r["count"] + 1e-3))))
     h = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
     unit = (F.shiftrightunsigned(h, 11) / float(1 << 53)).alias("unit")
     room = F.greatest(F.length(text_col) - PIECE, F.lit(0)) + 1
     piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(F.lit(12), h), room).cast("int") + 1, F.lit(PIECE))
-    few = labelled.select(F.col(lang_col).alias("lang"), unit, piece.alias("piece")).where(F.col("unit") < F.element_at(share, F.col("lang")))
-    rows = few.orderBy("unit", "lang", "piece").limit(4 * per_language * len(counts)).collect()
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in rows:
-        if taken.get(r["lang"], 0) < per_language and any(c.isalpha() for c in r["piece"]):
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(r["piece"].encode())
-            labels.append(r["lang"])
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = labelled.select(F.col(lang_col).alias("lang"), unit, piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return [], []
+    # a share of the hashes that holds about twice the rows wanted, so that few rows are sorted
+    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * per_language / r["count"] + 1e-3))))
+    few = labelled.where(F.col("unit") < F.element_at(share, F.col("lang")))
+    # each language has its own limit, kept in every task before rows move
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "piece"))
+    rows = sorted(few.withColumn("rank", rank).where(F.col("rank") <= per_language).collect(), key=lambda r: (r["unit"], r["lang"], r["piece"]))
+    texts, labels = [r["piece"].encode() for r in rows], [r["lang"] for r in rows]
     return texts, labels
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from glyphflow.llm import html_extract, pii
+from pyspark.sql import functions as F
+
+from glyphflow.llm import html_extract, language_id, pii
 
 
 def test_quoted_spaced_and_long_secrets(spark):
@@ -28,6 +30,12 @@ def test_secrets_are_scanned_in_linear_time(spark):
     assert pii.find_pii(df, weights={}).count() == len(texts) and pii.vote_counts(df)
 
 
+def test_a_rare_language_keeps_its_training_rows(spark):
+    docs = spark.range(3_030_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 30_000, "rare").otherwise(F.concat(F.lit("l"), F.col("id") % 3)).alias("lang"))
+    _, labels = language_id.training_sample(docs, "doc_id", "text", "lang", per_language=50)
+    assert {v: labels.count(v) for v in set(labels)} == {v: 50 for v in ("rare", "l0", "l1", "l2")}
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
