@@ -32,15 +32,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(df: DataFrame, results: tuple[str, ...], *own: str) -> DataFrame:
+    """``df`` without the columns that are named, letter case apart, like a result; columns that the operator reads stay."""
+    taken = {c.lower() for c in results} - {c.lower() for c in own}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_of(column: Column) -> Column:
     """CRC-32 of the UTF-8 bytes as an unsigned long."""
     return F.crc32(F.encode(column, "UTF-8"))
 
 
+def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``summary``, which has one row for each key (longs or ints, never null), so that Spark can split a hot key.
+
+    An adaptive skew join splits a key's rows only if both sides are plain exchanges.  An
+    aggregate already dealt by the key would spare its exchange, so the key is made anew.
+    """
+    own = {k: f"__{k}" for k in keys}
+    right = summary.select(*(F.col(k).bitwiseXOR(F.lit(0)).alias(own[k]) if k in own else F.col(k) for k in summary.columns))
+    return rows.join(right.hint("merge"), [F.col(k) == F.col(x) for k, x in own.items()], how).drop(*own.values())
+
+
 def _with_min(edges: DataFrame) -> DataFrame:
-    """(a, b, m): each edge with the least neighbour of its end ``a``; pre-aggregated, so that a hub is no hot key."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least.hint("merge"), "a")
+    """(a, b, m): each edge with the least neighbour of its end ``a``."""
+    return join_summary(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"])
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
