@@ -6,13 +6,19 @@ position; a document's probabilities are the means over all its positions.  The
 text is read.  The network is trained here, in numpy, by backpropagation through time
 over every position's label, with a fixed seed.
 
-Training uses a bounded sample: of each of at most ``MAX_LANGUAGES`` labels (the most
-frequent ones) at most ``PER_LANGUAGE`` rows, those with the least hash, and of each
-row one piece of ``PIECE`` characters at a hashed place.
+Training uses a bounded sample: of each label at most ``PER_LANGUAGE`` rows, those with the
+least hash (fewer if there are more than ``MOST_ROWS / PER_LANGUAGE`` labels), and of each
+row one piece at a hashed place.  Pieces have ``PIECE`` characters, or more if a label has
+few rows, so that it still gives ``PER_LANGUAGE * PIECE`` characters if its texts have them.
+However large the sample is, ``UPDATES`` steps are made, each on as many segments of every
+language.
 
 Defined results: a text that is null or without letters is ``und`` with score 0, and so
 is every text if there was nothing to learn from; rows without a label are predicted
-like others; equal texts get equal answers.
+like others; equal texts get equal answers; between equally probable languages the first
+by name is taken; texts are read whole, whatever their length; an empty table gives no
+rows; columns of ``docs`` stay, but for ones named ``lang_pred`` or ``score``, which give
+way to the results.
 """
 
 from __future__ import annotations
@@ -26,15 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import crc32_of, table
+from .common import crc32_of, fresh, table, without
 
 SEGMENT = 64
 HIDDEN = 8
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 200
+MOST_ROWS = 200_000
 PIECE = 200
+UPDATES = 400
 UNKNOWN = "und"
-_EPOCHS, _BATCH, _RATE = 3, 256, 0.02
+_BATCH, _RATE = 256, 0.02
 _LANES = 2048  # segments that run through the network side by side
 _PAD = 0  # fills a last segment; its update gate stays shut, so the state passes it unchanged
 
@@ -140,7 +147,7 @@ def _backward(net: Network, x: np.ndarray, states: np.ndarray, grad: np.ndarray,
     return d_in, d_rec
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, seed: int = 1, updates: int = UPDATES) -> Network:
     """A network fitted to labelled pieces of text."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -158,54 +165,54 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, seed: int
         return net
     offsets = np.cumsum([0, *map(len, texts)])
     x, doc = segments(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    y = np.array([languages.index(v) for v in labels])[doc]
+    y = np.searchsorted(languages, labels)[doc]
+    of = [np.flatnonzero(y == k) for k in range(len(languages))]
+    each = -(-_BATCH // len(languages))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step, total = 0, _EPOCHS * -(-len(x) // _BATCH)
-    for _ in range(_EPOCHS):
-        order = rng.permutation(len(x))
-        for a in range(0, len(x), _BATCH):
-            xb, yb = x[order[a : a + _BATCH]], y[order[a : a + _BATCH]]
-            states = [net.states(xb, d) for d in (0, 1)]
-            both = np.concatenate(states, axis=2)
-            logits = both @ net.output + net.bias
-            logits -= logits.max(axis=2, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=2, keepdims=True)
-            p[:, np.arange(len(yb)), yb] -= 1
-            real = (xb.T != _PAD)[:, :, None]
-            p = (p * real / max(1, real.sum())).astype(np.float32)
-            d_both = p @ net.output.T
-            grads = [_backward(net, xb, states[d], d_both[:, :, d * hidden : (d + 1) * hidden], d) for d in (0, 1)]
-            flat = [grads[0][0], grads[1][0], grads[0][1], grads[1][1], np.tensordot(both, p, axes=([0, 1], [0, 1])), p.sum(axis=(0, 1))]
-            step += 1
-            rate = _RATE * (1 - (step - 1) / total)
-            for w, g, (m, v) in zip(net.parameters(), flat, moments):  # Adam
-                m += (g - m) * 0.1
-                v += (g * g - v) * 0.01
-                w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            shut()
+    for step in range(1, updates + 1):
+        pick = np.concatenate([rng.choice(own, each) for own in of])
+        xb, yb = x[pick], y[pick]
+        states = [net.states(xb, d) for d in (0, 1)]
+        both = np.concatenate(states, axis=2)
+        logits = both @ net.output + net.bias
+        logits -= logits.max(axis=2, keepdims=True)
+        p = np.exp(logits)
+        p /= p.sum(axis=2, keepdims=True)
+        p[:, np.arange(len(yb)), yb] -= 1
+        real = (xb.T != _PAD)[:, :, None]
+        p = (p * real / max(1, real.sum())).astype(np.float32)
+        d_both = p @ net.output.T
+        grads = [_backward(net, xb, states[d], d_both[:, :, d * hidden : (d + 1) * hidden], d) for d in (0, 1)]
+        flat = [grads[0][0], grads[1][0], grads[0][1], grads[1][1], np.tensordot(both, p, axes=([0, 1], [0, 1])), p.sum(axis=(0, 1))]
+        rate = _RATE * (1 - (step - 1) / updates)
+        for w, g, (m, v) in zip(net.parameters(), flat, moments):  # Adam
+            m += (g - m) * 0.1
+            v += (g * g - v) * 0.01
+            w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        shut()
     return net
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """At most ``per_language`` pieces of each language, those whose rows have the least hash."""
-    h = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
-    unit = (F.shiftrightunsigned(h, 11) / float(1 << 53)).alias("unit")
-    room = F.greatest(F.length(text_col) - PIECE, F.lit(0)) + 1
-    piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(F.lit(12), h), room).cast("int") + 1, F.lit(PIECE))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labelled = labelled.select(F.col(lang_col).alias("lang"), unit, piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> tuple[list[bytes], list[str]]:
+    """Pieces of at most ``per_language`` rows of each language, those with the least hash."""
+    text, h = F.col("text"), F.xxhash64(F.lit(11), "id", "text")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    labelled = labelled.where(text.rlike(r"\p{L}")).withColumn("unit", F.shiftrightunsigned(h, 11) / float(1 << 53))
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return [], []
+    per_language = max(1, min(per_language, most_rows // len(counts)))
     # a share of the hashes that holds about twice the rows wanted, so that few rows are sorted
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * per_language / r["count"] + 1e-3))))
-    few = labelled.where(F.col("unit") < F.element_at(share, F.col("lang")))
+    by_language = lambda of: F.element_at(F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], of(r["count"])))), F.col("lang"))
+    few = labelled.where(F.col("unit") < by_language(lambda n: min(1.0, 2 * per_language / n + 1e-3)))
+    size = by_language(lambda n: max(PIECE, -(-PER_LANGUAGE * PIECE // min(n, per_language))))
+    room = F.greatest(F.length("text") - size, F.lit(0)) + 1
+    few = few.select("lang", "unit", F.substring(text, F.pmod(F.xxhash64(F.lit(12), h), room).cast("int") + 1, size).alias("piece"))
     # each language has its own limit, kept in every task before rows move
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "piece"))
-    rows = sorted(few.withColumn("rank", rank).where(F.col("rank") <= per_language).collect(), key=lambda r: (r["unit"], r["lang"], r["piece"]))
-    texts, labels = [r["piece"].encode() for r in rows], [r["lang"] for r in rows]
-    return texts, labels
+    rows = few.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
+    rows = sorted((r for r in rows if r["piece"]), key=lambda r: (r["unit"], r["lang"], r["piece"]))
+    return [r["piece"].encode() for r in rows], [r["lang"] for r in rows]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,9 +222,10 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, the mean probability of the predicted language."""
+    docs = without(docs, ("lang_pred", "score"), text_col)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     columns = docs.columns
-    source = docs.withColumn("__letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    source = docs.withColumn(fresh(docs, "letters"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Network | None = sent.value
