@@ -2,21 +2,24 @@
 
 A word goes if a window of ``window`` consecutive words covers it whose word
 sequence also starts earlier (smaller document id, or same document and earlier
-start).  Two levels find those windows without moving one row per window:
-
-1. Windows of half that length.  Of the half windows inside a full window only the
-   one with the least hash, the anchor, is looked at; equal full windows have equal
-   anchors at equal places, so no repeat is lost.  The full windows that share an
-   anchor occurrence are its context.  Occurrences are grouped by anchor: one that
-   occurs once is dropped; one whose whole context occurred before is removed at
-   once; only the first occurrence of each of several different contexts survives.
-2. Survivors are extended to full length: every full window of a surviving context
+start).  Levels of doubled length, from at least ``LEAST`` words up to ``window``, find
+those windows without moving one row per window:
+
+1. Each window is stood for by its anchors: of the parts of half its length the one with
+   the least hash, of that one's halves again the least, and so on down to the first
+   level.  Equal windows have equal anchors at equal places, so no repeat is lost.
+   The windows that share their anchors are one context, and only contexts move.
+2. At each level contexts are grouped by their anchor of that length.  One whose anchor
+   occurs once is dropped; one that occurred whole before is removed at once; the first
+   occurrences of several different contexts are extended to anchors of twice the length,
+   until none survive or the length is half the window.
+3. Survivors are extended to full length: every full window of a surviving context
    is grouped by a 128-bit hash, and those that aren't the first are removed.
 
 Each task first settles what repeats within its own batch, so a passage that a
-third of all documents share sends one row per batch, not one per document.  Both
-shuffles carry hashes and positions; texts are shuffled once, to meet the surviving
-contexts and then the removed ranges of their document.
+third of all documents share sends one row per batch, not one per document.  The
+levels shuffle hashes and positions; texts are shuffled once, to meet the surviving
+contexts and then the removed ranges of their document, by id and 128 bits of the text.
 
 Defined results: a null text has no words and keeps none; a document shorter than
 the window loses nothing; a null id sorts before all others; rows with the same id
@@ -38,6 +41,8 @@ from . import hashing
 from .common import NULL_ID, checkpoint, table
 
 WINDOW = 20
+#: The first level's windows have so many words or, if the window can't be halved to that, up to twice as many.
+LEAST = 5
 
 
 def _later(doc: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -67,13 +72,22 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def level_lengths(window: int) -> list[int]:
+    """The lengths of the anchors, shortest first."""
+    out = [max(1, window // 2)]
+    while out[0] // 2 >= LEAST:
+        out.insert(0, out[0] // 2)
+    return out
+
+
 def _anchors(window: int):
-    half = max(1, window // 2)
+    lengths = level_lengths(window)
+    half = lengths[-1]
     width = window - half + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = _column(batch, "id").to_numpy(), _column(batch, "tkey").to_numpy()
+            ids, keys = _column(batch, "id").to_numpy(), [_column(batch, k).to_numpy() for k in ("k1", "k2")]
             parts = []
             for w in hashing.word_slices(_column(batch, "text"), hashing.PLAIN):
                 n = len(w.hashes)
@@ -92,10 +106,15 @@ def _anchors(window: int):
                 lo, hi = start[at], start[np.append(at[1:], len(start)) - 1] + window
                 context = hashing.mix(hashing.ranges_hash(w.hashes, lo, hi) + (anchor[at] - lo).astype(np.uint64))
                 base = w.offsets[doc[at]]
-                parts.append((gram[anchor[at]], context, doc[at] + w.first_row, lo - base, hi - base))
+                place, grams = anchor[at], [gram[anchor[at]]]
+                for long, short in zip(lengths[:0:-1], lengths[-2::-1]):
+                    gram = hashing.ranges_hash(w.hashes, np.arange(n - short + 1), np.arange(short, n + 1))
+                    place = hashing.sliding_argmin(gram, long - short + 1)[place]
+                    grams.insert(0, gram[place])
+                parts.append((context, doc[at] + w.first_row, lo - base, hi - base, *grams))
             if not parts:
                 continue
-            gram, context, row, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            context, row, lo, hi, *grams = (np.concatenate(x) for x in zip(*parts))
             gone = _later(ids[row], lo, context)
             r, a, b = _merged(row[gone], lo[gone], hi[gone])
             stay = ~gone
@@ -103,13 +122,12 @@ def _anchors(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((np.zeros(stay.sum(), np.int8), np.ones(len(r), np.int8)))),
-                    pa.array(np.concatenate((gram[stay], key)).view(np.int64)),
                     pa.array(np.concatenate((context[stay], key)).view(np.int64)),
-                    pa.array(ids[np.concatenate((row[stay], r))]),
-                    pa.array(keys[np.concatenate((row[stay], r))]),
+                    *(pa.array(x[np.concatenate((row[stay], r))]) for x in (ids, *keys)),
                     pa.array(np.concatenate((lo[stay], a)) << 32 | np.concatenate((hi[stay], b))),
+                    *(pa.array(np.concatenate((g[stay], key)).view(np.int64)) for g in grams),
                 ],
-                names=["gone", "anchor", "context", "id", "tkey", "place"],
+                names=["gone", "context", "id", "k1", "k2", "place", *(f"anchor{n}" for n in lengths)],
             )
 
     return emit
@@ -118,7 +136,7 @@ def _anchors(window: int):
 def _full_windows(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = _column(batch, "id").to_numpy(), _column(batch, "tkey").to_numpy()
+            ids, keys = _column(batch, "id").to_numpy(), [_column(batch, k).to_numpy() for k in ("k1", "k2")]
             ranges = _column(batch, "ranges")
             flat, bounds = ranges.flatten(), ranges.offsets.to_numpy() - ranges.offsets[0].as_py()
             all_lo, all_hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
@@ -135,29 +153,38 @@ def _full_windows(window: int):
                 parts.append((hashing.ranges_hash(w.hashes, at, at + window), hashing.ranges_hash(second, at, at + window), row + w.first_row, rel))
             h1, h2, row, lo = (np.concatenate(x) for x in zip(*parts))
             gone = _later(ids[row], lo, h1, h2)
-            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array(lo.astype(np.int32)), pa.array((lo + window).astype(np.int32))], names=["gone", "h1", "h2", "id", "tkey", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(x[row]) for x in (ids, *keys)), pa.array(lo.astype(np.int32)), pa.array((lo + window).astype(np.int32))], names=["gone", "h1", "h2", "id", "k1", "k2", "lo", "hi"])
 
     return emit
 
 
+ROW = ["id", "k1", "k2"]
+
+
 def removed_ranges(rows: DataFrame, window: int) -> DataFrame:
-    """(id, tkey, lo, hi): word ranges to remove of ``rows`` (id, tkey, text); ranges may overlap."""
-    found = rows.mapInArrow(_anchors(window), "gone tinyint, anchor bigint, context bigint, id bigint, tkey int, place bigint").repartition("anchor")
+    """(id, k1, k2, lo, hi): word ranges to remove of ``rows`` (id, k1, k2, text); ranges may overlap."""
+    lengths = level_lengths(window)
+    live = rows.mapInArrow(_anchors(window), "gone tinyint, context bigint, id bigint, k1 bigint, k2 bigint, place bigint, " + ", ".join(f"anchor{n} bigint" for n in lengths))
     start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    by_context = W.partitionBy("anchor", "context", "gone").orderBy("id", start)
-    by_anchor = W.partitionBy("anchor")
-    settled = (
-        found.withColumn("rank", F.rank().over(by_context))
-        .withColumn("several", F.min("context").over(by_anchor) != F.max("context").over(by_anchor))
-        .withColumn("gone", (F.col("gone") == 1) | (F.col("rank") > 1))
-        .where("gone or several")
-        .select("gone", "id", "tkey", start.alias("lo"), end.alias("hi"))
-    )
-    settled = checkpoint(settled)
-    survivors = settled.where("not gone").groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    full = rows.join(survivors, ["id", "tkey"]).select("id", "tkey", "text", "ranges").mapInArrow(_full_windows(window), "gone boolean, h1 bigint, h2 bigint, id bigint, tkey int, lo int, hi int")
+    settled = []
+    for n in lengths:
+        anchor = f"anchor{n}"
+        live = live.repartition(anchor)
+        by_anchor = W.partitionBy(anchor)
+        several = F.min("context").over(by_anchor) != F.max("context").over(by_anchor)
+        if n == lengths[0]:  # equal contexts have equal anchors of all lengths: they meet here already
+            rank = F.rank().over(W.partitionBy(anchor, "context", "gone").orderBy("id", start))
+            live = live.withColumns({"rank": rank, "several": several}).withColumn("gone", (F.col("gone") == 1) | (F.col("rank") > 1)).where("gone or several").drop("rank", "several")
+        else:
+            live = live.withColumn("several", several).where("several").drop("several")
+        live = checkpoint(live)
+        if n == lengths[0]:
+            settled.append(live.where("gone").select(*ROW, start.alias("lo"), end.alias("hi")))
+            live = live.where("not gone")
+    survivors = live.groupBy(*ROW).agg(F.collect_list(F.struct(start.alias("lo"), end.alias("hi"))).alias("ranges"))
+    full = rows.join(survivors, ROW).select(*ROW, "text", "ranges").mapInArrow(_full_windows(window), "gone boolean, h1 bigint, h2 bigint, id bigint, k1 bigint, k2 bigint, lo int, hi int")
     later = full.withColumn("rank", F.rank().over(W.partitionBy("h1", "h2", "gone").orderBy("id", "lo"))).where("gone or rank > 1")
-    return settled.where("gone").select("id", "tkey", "lo", "hi").unionByName(later.select("id", "tkey", "lo", "hi"))
+    return settled[0].unionByName(later.select(*ROW, "lo", "hi"))
 
 
 def _cut(carry: list[str]):
@@ -184,12 +211,14 @@ def _cut(carry: list[str]):
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``carry`` columns, n_words, n_removed, kept (the kept words joined by one space)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text_col).alias("tkey"), F.col(text_col).alias("text"), *(F.col(c).alias(f"__{c}") for c in carry))
+    carry = tuple(c for c in dict.fromkeys(carry) if c != id_col and c not in ("n_words", "n_removed", "kept"))
+    keys = F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(7), text_col).alias("k2")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), *keys, F.col(text_col).alias("text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(carry)))
     # without carried columns the surviving contexts and the removed ranges meet the texts in one and the same exchange
-    ranges = removed_ranges(rows.select("id", "tkey", "text"), window).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "id bigint, " + "".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry) + "n_words bigint, n_removed bigint, kept string"
-    found = rows.join(ranges, ["id", "tkey"], "left").mapInArrow(_cut(["id", *(f"__{c}" for c in carry)]), schema)
-    return found.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), *(F.col(f"__{c}").alias(c) for c in carry if c != id_col), "n_words", "n_removed", "kept")
+    ranges = removed_ranges(rows.select(*ROW, "text"), window).groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    schema = "id bigint, " + "".join(f"`__{i}` {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry)) + "n_words bigint, n_removed bigint, kept string"
+    found = rows.join(ranges, ROW, "left").mapInArrow(_cut(["id", *(f"__{i}" for i in range(len(carry)))]), schema)
+    return found.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(carry)), "n_words", "n_removed", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
