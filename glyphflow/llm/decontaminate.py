@@ -7,12 +7,18 @@ windows of their documents with prefix sums, look them up, and verify each hit w
 by word, so a hash collision never counts.
 
 What is broadcast is bounded: items are taken in blocks of at most
-``block_windows`` windows (about 100 MB at the default), and documents are scanned
-once a block.  A benchmark of usual size is one block.
+``block_windows`` windows (about 100 MB at the default; a single longer item is a block of
+its own), one at a time.  A benchmark of usual size is one block, and its documents are
+scanned once, without a shuffle.  Of more blocks each is gathered, broadcast, its
+hits written to the checkpoint folder, and freed before the next; then documents fetch
+their hits by id and 128 bits of their text.
 
 Defined results: a null text has no words; an item without words has no window and
 hits nothing; items with the same id count as one item; repeated documents are
-judged row by row; an empty benchmark leaves all documents clean.
+judged row by row; an empty benchmark leaves all documents clean; an empty table gives no
+rows; texts are read whole, whatever their length.  ``decontaminate`` gives back the
+columns of ``docs`` whatever they are named; in ``find_contamination`` a carried column
+that is named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
+from .common import checkpoint, fresh, join_summary
 
 WINDOW = 10
 BLOCK_WINDOWS = 1_000_000
@@ -68,61 +76,117 @@ class _Index:
         return np.cumsum(mark)[:-1] > 0, items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``block_windows`` windows; an item has at most one window for two characters."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
+class _Items:
+    """Items of one block; a worker makes their index once."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int):
+        self.items, self.window, self._index = items, window, None
+
+    @property
+    def index(self) -> _Index:
+        if self._index is None:
+            self._index = _Index(self.items, self.window)
+        return self._index
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_windows: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``block_windows`` windows, at least one block; an item has at most one window for two characters."""
+    block, size = [], 0
     for item_id, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         n = len(text) // 2 + 1
-        if blocks[-1] and size + n > block_windows:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, text))
+        if block and size + n > block_windows:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
         size += n
-    return blocks
+    yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``carry`` columns, n_words, spans (word ranges that are hit), n_hit, items (sorted ids as strings).
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _ranges(hit: np.ndarray) -> list[dict]:
+    own = np.concatenate(([False], hit, [False]))
+    edge = np.flatnonzero(own[1:] != own[:-1])
+    return [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
-    With ``carry`` holding the text column the caller has the text beside its spans.
-    """
-    spark = docs.sparkSession
-    blocks = item_blocks(benchmark, item_col, item_text_col, window, block_windows)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
-    keep = list(dict.fromkeys((id_col, *carry)))
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>"
+
+def _scan(rows: DataFrame, items: _Items, hits_only: bool = False) -> DataFrame:
+    """``rows`` (record, text) as (record, n_words, spans, n_hit, items)."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [_Index(b.value, window) for b in sent] if len(sent) == 1 else None
+        index = sent.value.index
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
             n_words, spans, n_hit, items = [], [], [], []
-            for w in hashing.word_slices(text, hashing.ALNUM):
-                hit, found = np.zeros(len(w.hashes), dtype=bool), {}
-                for index in indexes or (_Index(b.value, window) for b in sent):
-                    more, ids = index.hits(w)
-                    hit |= more
-                    for d, x in ids.items():
-                        found.setdefault(d, set()).update(x)
+            for w in hashing.word_slices(batch.column(1), hashing.ALNUM):
+                hit, found = index.hits(w)
                 n_words += w.counts.tolist()
                 for d in range(w.n_docs):
-                    if d not in found:
-                        spans.append([])
-                        n_hit.append(0)
-                        items.append([])
-                        continue
-                    own = np.concatenate(([False], hit[w.offsets[d] : w.offsets[d + 1]], [False]))
-                    edge = np.flatnonzero(own[1:] != own[:-1])
-                    spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
-                    n_hit.append(int(own.sum()))
-                    items.append(sorted(map(str, found[d])))
-            out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            out += [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_words", "spans", "n_hit", "items"])
-
-    return source.mapInArrow(scan, schema)
+                    own = _ranges(hit[w.offsets[d] : w.offsets[d + 1]]) if d in found else []
+                    spans.append(own)
+                    n_hit.append(sum(x["end"] - x["start"] for x in own))
+                    items.append(sorted(map(str, found.get(d, ()))))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["record", "n_words", "spans", "n_hit", "items"])
+            yield out.filter(pa.array([n > 0 for n in n_hit], pa.bool_())) if hits_only else out
+
+    return rows.mapInArrow(scan, T.StructType([rows.schema["record"], *_FOUND]))
+
+
+def _united(spans: list) -> list:
+    """Unions of ranges that overlap or touch."""
+    out: list[list[int]] = []
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [{"start": a, "end": b} for a, b in out]
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [_united([s for x in (parts or ()) for s in x]) for parts in batch.column(2).to_pylist()]
+        items = [sorted({i for x in (parts or ()) for i in x}) for parts in batch.column(3).to_pylist()]
+        n_hit = [sum(x["end"] - x["start"] for x in own) for own in spans]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _ARROW_SPANS), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["record", "n_words", "spans", "n_hit", "items"])
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_windows: int, carry: list[str]) -> DataFrame:
+    """(record, n_words, spans, n_hit, items); the record has the ``carry`` columns."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("record"), F.col(f"`{text_col}`").alias("text"))
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_windows)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _scan(rows, _Items(block, window))
+    # equal texts have equal hits, so these are sent by the text's digest, once for each text and block
+    keyed = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+    found = []
+    while block is not None:
+        texts = keyed.select(F.struct("k1", "k2").alias("record"), "text")
+        found.append(checkpoint(_scan(texts, _Items(block, window), hits_only=True).dropDuplicates(["record"])))
+        block, more = more, next(blocks, None)
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.unionByName(x)
+    hits = hits.groupBy(F.col("record.k1").alias("k1"), F.col("record.k2").alias("k2")).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    # an empty block counts the words of every text
+    counted = _scan(keyed.select(F.struct("record", "k1", "k2").alias("record"), "text"), _Items([], window)).select("record.*", "n_words")
+    met = join_summary(counted, hits, ["k1", "k2"], "left").select("record", "n_words", "spans", "items")
+    return met.mapInArrow(_unite, T.StructType([rows.schema["record"], *_FOUND]))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, ``carry`` columns, n_words, spans (word ranges that are hit), n_hit, items (sorted ids as strings).
+
+    With ``carry`` holding the text column the caller has the text beside its spans.
+    """
+    results = [f.name for f in _FOUND]
+    keep = [c for c in dict.fromkeys((id_col, *carry)) if c == id_col or c.lower() not in results]
+    found = _contamination(docs, benchmark, text_col, item_col, item_text_col, window, block_windows, keep)
+    return found.select(*(F.col("record").getField(c).alias(c) for c in keep), *results)
 
 
 def remove_spans(text: str | None, spans: list) -> str | None:
@@ -138,28 +202,28 @@ def remove_spans(text: str | None, spans: list) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_fraction: float = 0.0, how: str = "document", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_fraction: float = 0.0, how: str = "document", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` without contamination, with its own columns.
 
     how="document": documents go of whose words more than ``max_hit_fraction`` are hit.
     how="span": documents stay, without the hit words.
     """
-    found = find_contamination(docs, benchmark, id_col, text_col, carry=tuple(docs.columns), **options)
-    if how == "document":
-        return found.where(F.col("n_hit") <= F.col("n_words") * max_hit_fraction).select(*docs.columns)
-    if how != "span":
+    if how not in ("document", "span"):
         raise ValueError("how must be 'document' or 'span'")
-
     names = docs.columns
+    found = _contamination(docs, benchmark, text_col, item_col, item_text_col, window, block_windows, names)
+    own = [F.col("record").getField(c).alias(c) for c in names]
+    if how == "document":
+        return found.where(F.col("n_hit") <= F.col("n_words") * max_hit_fraction).select(*own)
+    at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            text = [remove_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist())]
+            text = [remove_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return found.select(*own, F.col("spans").alias(fresh(docs, "spans"))).mapInArrow(cut, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
