@@ -7,15 +7,16 @@ is kept.  For two unit vectors the product of the rounded ones is off by no more
 threshold can't be linked.  All others are computed again in double precision from
 the given components.
 
-The vectors are dealt into blocks; a task multiplies two blocks, strip by strip, so
-memory is bounded by the block size.  A task returns a count of links for each of its
+The vectors are dealt into blocks by hash, as many as their whole number needs; a task
+multiplies two blocks, strip by strip, so memory is bounded by the block size.  A task returns a count of links for each of its
 vectors and a spanning forest of the links, never the pairs themselves.  The products
 are whole numbers below 2**24, exact in single precision (double from 1040 dimensions).
 
 Defined results: a vector that is null, empty, of length zero or has a null or
 non-finite component links with nothing, as do vectors of different dimensions with
 each other; rows that repeat an id are vectors of their own, each a link of the other
-if they are similar; a null id is the least and stays null in the result.
+if they are similar; a null id is the least and stays null in the result; only the id and
+the vector are read, so other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, checkpoint, connected_components, table
 
 THRESHOLD = 0.95
-#: Vectors of a block; a task holds two blocks.
-BLOCK = 8192
+#: Vectors of a block, on average; a task holds two blocks.
+BLOCK = 4096
 _STRIP = 512
 #: Far above the rounding errors of the double and single precision steps of the bound.
 _SLACK = 1e-5
@@ -41,32 +42,37 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        quantised, scales, errors, raws = [], [], [], []
-        for v in _column(batch, "vector"):
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            raws.append(x.tobytes())
-            x = x / np.abs(x).max()  # first, so that squares neither overflow nor vanish
-            x /= np.sqrt(x @ x)
-            scale = np.abs(x).max() / 127
-            q = np.rint(x / scale)
-            rest = x - scale * q
-            quantised.append(q.astype(np.int8).tobytes())
-            scales.append(scale)
-            errors.append(np.sqrt(rest @ rest))
-        own = [_column(batch, c) for c in ("id", "copies", "dim", "block", "blocks")]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(quantised, pa.binary()), pa.array(scales, pa.float64()), pa.array(errors, pa.float64()), pa.array(raws, pa.binary())], names=["id", "copies", "dim", "block", "blocks", "q", "scale", "error", "raw"])
+def _quantise(kind: str):
+    """Vectors as bytes of ``kind``, which holds their components exactly, and rounded to int8."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            quantised, scales, errors, raws = [], [], [], []
+            for v in _column(batch, "vector"):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                raws.append(x.astype(kind).tobytes())
+                x = x / np.abs(x).max()  # first, so that squares neither overflow nor vanish
+                x /= np.sqrt(x @ x)
+                scale = np.abs(x).max() / 127
+                q = np.rint(x / scale)
+                rest = x - scale * q
+                quantised.append(q.astype(np.int8).tobytes())
+                scales.append(scale)
+                errors.append(np.sqrt(rest @ rest))
+            own = [_column(batch, c) for c in ("id", "copies", "dim", "block", "blocks")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(quantised, pa.binary()), pa.array(scales, pa.float64()), pa.array(errors, pa.float64()), pa.array(raws, pa.binary())], names=["id", "copies", "dim", "block", "blocks", "q", "scale", "error", "raw"])
+
+    return emit
 
 
 class _Block:
-    def __init__(self, rows: dict[str, list]):
+    def __init__(self, rows: dict[str, list], kind: str):
         self.ids, self.copies = np.array(rows["id"], dtype=np.int64), np.array(rows["copies"], dtype=np.int64)
         n = len(self.ids)
         q = np.frombuffer(b"".join(rows["q"]), dtype=np.int8).reshape(n, -1)
         self.q = q.astype(np.float32 if q.shape[1] < 1040 else np.float64)
         self.scale, self.error = np.array(rows["scale"]), np.array(rows["error"])
-        x = np.frombuffer(b"".join(rows["raw"]), dtype=np.float64).reshape(n, -1)
+        x = np.frombuffer(b"".join(rows["raw"]), dtype=kind).reshape(n, -1).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         self.x, self.norm = x, np.sqrt(np.einsum("ij,ij->i", x, x))
 
@@ -115,7 +121,7 @@ def join_blocks(a: _Block, b: _Block | None, threshold: float) -> tuple[np.ndarr
     return ids, links, forest
 
 
-def _tiles(threshold: float):
+def _tiles(threshold: float, kind: str):
     fields = ("id", "copies", "q", "scale", "error", "raw")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +131,7 @@ def _tiles(threshold: float):
         def out() -> Iterator[pa.RecordBatch]:
             if key is None or key[1] not in own or key[2] not in own:
                 return
-            blocks = {k: _Block(v) for k, v in own.items()}
+            blocks = {k: _Block(v, kind) for k, v in own.items()}
             ids, links, forest = join_blocks(blocks[key[1]], None if key[1] == key[2] else blocks[key[2]], threshold)
             some = np.flatnonzero(links)
             a = np.concatenate((ids[some], np.array([x for x, _ in forest], dtype=np.int64)))
@@ -156,13 +162,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("usable", usable).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(7), v))
     single = checkpoint(rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector")))
-    size = single.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # as many rows as there are dimensions
-    dealt = single.join(size.hint("merge"), "dim").select("id", "copies", "dim", "blocks", F.pmod(F.xxhash64("k1", "id"), F.col("blocks")).cast("int").alias("block"), "vector")
-    quantised = dealt.mapInArrow(_quantise, "id bigint, copies bigint, dim int, block int, blocks int, q binary, scale double, error double, raw binary")
+    blocks = F.lit(max(1, -(-single.count() // block)))
+    dealt = single.select("id", "copies", "dim", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("k1", "id"), blocks).cast("int").alias("block"), "vector")
+    kind = "<f4" if "array<float>" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
+    quantised = dealt.mapInArrow(_quantise(kind), "id bigint, copies bigint, dim int, block int, blocks int, q binary, scale double, error double, raw binary")
     tiles = quantised.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     tiles = tiles.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high")
-    joined = checkpoint(tiles.mapInArrow(_tiles(threshold), "id bigint, links bigint, to bigint"))
+    joined = checkpoint(tiles.mapInArrow(_tiles(threshold, kind), "id bigint, links bigint, to bigint"))
     links = joined.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
     label = connected_components(joined.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     found = single.select("k1", "k2", F.col("id").alias("rep"), "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
