@@ -2,82 +2,110 @@
 
 A url's host labels and path parts are split into words: at every character that
 isn't a letter, and inside a run of letters by a unigram Viterbi search over known
-words, with a penalty that grows with the length of an unknown one.  Multinomial naive
-Bayes scores the words for the classes allow and block.  Both models are trained here
-from labelled phrases: ``SEED_PHRASES``, or a caller's own.  Unknown words say nothing.
-A url is blocked if its log-odds of block are above 0.
+words, where an unknown word costs more the longer it is.  Multinomial naive Bayes
+scores the words for the classes allow and block; unknown words say nothing.  A url is
+blocked if its log-odds of block are above 0.
+
+Both models are learnt from the urls themselves, counted over all of them in Spark:
+
+* The unigrams are the letter runs that stand on at least ``MIN_HOSTS`` different hosts,
+  counted by host, so that one busy site's name isn't a word; with ``SEED_WORDS`` they are
+  at most ``MOST_WORDS``, those on the most hosts.
+* The classes are learnt from the urls whose verdict a rule gives, by host again and
+  without the words that the rule itself names, and from ``SEED_WORDS``.  Urls without
+  rules get their verdict from these words.
 
 Rules come first: (host with path, verdict); a rule fits its host and every subdomain if
 the url's path starts with the rule's path, and the longest fitting rule wins.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no
-rule and is allowed; repeated urls get equal answers.
+rule and is allowed; repeated urls get equal answers and count once for each host; equally
+good splits take the longer last word; urls are read whole, whatever their length, in time
+in proportion to it; an empty table gives no rows and a model of the seeds alone; columns of
+``pages`` stay, but for ones named like a result, which give way to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, without
 
-#: Labelled phrases that the models are trained from by default.
-SEED_PHRASES = {
+#: Words of each class that are known beforehand, by topic; the counts of a corpus are added to them.
+SEED_WORDS = {
     "block": (
-        "cheap pills online", "casino win bonus", "free bets", "spam farm", "ads track", "click ads tracker", "online casino slots", "poker bets jackpot",
-        "buy viagra pills", "cheap meds pharmacy", "payday loans fast cash", "adult xxx videos", "hot singles dating", "win free iphone prize", "lottery winner claim",
-        "crack keygen warez", "torrent free download movies", "replica watches cheap", "weight loss pills", "forex signals profit", "bitcoin doubler", "link farm seo backlinks",
-        "banner ads server", "track pixel beacon", "popup ads", "phishing login verify", "malware download", "escort girls", "betting odds tips", "gambling slots spin",
+        "casino", "poker", "roulette", "blackjack", "jackpot", "lottery", "slots", "gambling", "betting", "bets", "bookmaker",
+        "pharmacy", "pills", "viagra", "cialis", "steroids", "meds",
+        "porn", "porno", "xxx", "sex", "adult", "nude", "escort", "hentai", "camgirls",
+        "spam", "phishing", "malware", "keygen", "warez", "crack", "cracked", "torrent", "hacked",
+        "ads", "adserver", "adtracker", "popup", "popunder", "clickbait", "backlinks", "payday", "loans", "replica",
     ),
     "allow": (
-        "blog news", "www home page", "world news today", "science journal article", "history of art", "city library", "university research", "health guide",
-        "cooking recipes", "travel guide", "weather report", "music review", "book club", "garden ideas", "school lessons", "open source docs", "developer forum",
-        "language learning", "football club results", "museum of nature", "local council services", "photo gallery", "public radio", "film festival", "bird watching",
-        "family farm shop", "bike track map", "math tutorial", "climate data", "green energy",
+        "news", "journal", "magazine", "article", "articles", "press", "radio", "weather", "sports",
+        "university", "college", "school", "library", "museum", "research", "science", "history", "archive", "encyclopedia", "wiki", "education",
+        "health", "hospital", "medicine", "recipes", "kitchen", "garden", "travel", "hotel", "city", "council", "government",
+        "music", "film", "theatre", "books", "poetry", "photo", "gallery", "art",
+        "blog", "forum", "docs", "manual", "help", "support", "developer", "software", "shop", "store",
     ),
 }
-#: Words that every url may have; they belong to no class.
-NEUTRAL = ("www", "com", "org", "net", "html", "htm", "php", "index", "example", "http", "https", "m", "en", "de", "fr", "es")
+#: What a seed word counts as in its class, in hosts.
+SEED_HOSTS = 3
+MIN_HOSTS = 2
+MOST_WORDS = 100_000
+MOST_LETTERS = 24
+#: What each letter of an unknown word costs beyond the rarest known one.
+_LETTER = 1.6
+_LETTERS = r"[^\W\d_]+"
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
 class UrlModel:
-    """Word counts of the classes, and from them a unigram model for segmentation."""
-
-    def __init__(self, phrases: dict[str, tuple[str, ...]] | None = None):
-        phrases = phrases or SEED_PHRASES
-        self.counts = {c: Counter(w for p in phrases[c] for w in p.split()) for c in ("allow", "block")}
-        self.prior = math.log(len(phrases["block"]) / len(phrases["allow"]))
-        words = self.counts["allow"] + self.counts["block"] + Counter({w: 5 for w in NEUTRAL})
+    """Word probabilities for the segmentation, and log-odds of block for each word; what workers get is this very object.
+
+    hosts: on how many hosts a word stands; block, allow: on how many of those in urls of that
+    class; urls: how many hosts have urls of each class.
+    """
+
+    def __init__(self, hosts: dict[str, int] | None = None, block: dict[str, int] | None = None, allow: dict[str, int] | None = None, urls: tuple[int, int] = (0, 0), seeds: dict[str, tuple[str, ...]] | None = None):
+        seeds = seeds or SEED_WORDS
+        words = dict(hosts or {})
+        counts = {"block": dict(block or {}), "allow": dict(allow or {})}
+        for c, own in seeds.items():
+            for w in own:
+                words[w] = words.get(w, 0) + SEED_HOSTS
+                counts[c][w] = counts[c].get(w, 0) + SEED_HOSTS
         self.total = sum(words.values())
         self.log_word = {w: math.log(n / self.total) for w, n in words.items()}
         self.longest = max(map(len, self.log_word))
-        known = set(self.counts["allow"]) | set(self.counts["block"])
-        size = {c: sum(self.counts[c].values()) + len(known) for c in self.counts}
-        self.odds = {w: math.log((self.counts["block"][w] + 1) / size["block"]) - math.log((self.counts["allow"][w] + 1) / size["allow"]) for w in known}
-        self.segment = lru_cache(maxsize=65_536)(self._segment)
-
-    def _unknown(self, length: int) -> float:
-        return -math.log(self.total) - length * math.log(10)
-
-    def _segment(self, run: str) -> tuple[str, ...]:
-        """The most probable split of a run of letters; adjacent unknown letters are one unknown word."""
+        known = set(counts["block"]) | set(counts["allow"])
+        size = {c: sum(x.values()) + len(known) for c, x in counts.items()}
+        self.odds = {w: math.log((counts["block"].get(w, 0) + 1) / size["block"]) - math.log((counts["allow"].get(w, 0) + 1) / size["allow"]) for w in known}
+        self.prior = math.log((urls[0] + 1) / (urls[1] + 1))
+
+    def segment(self, run: str) -> tuple[str, ...]:
+        """The most probable split of a run of letters."""
+        unknown = -math.log(self.total)
         best = [(0.0, 0)]
+        known_from = [0.0]  # the best score of a split that ends with an unknown word, and where that word starts
+        start_of = [0]
         for end in range(1, len(run) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                word = run[start:end]
-                options.append((best[start][0] + self.log_word.get(word, self._unknown(end - start)), -start))
-            score, start = max(options)
-            best.append((score, -start))
+            # an unknown word either grows by a letter or starts here
+            grown, fresh_one = known_from[-1] - _LETTER if end > 1 else -math.inf, best[end - 1][0] + unknown - _LETTER
+            score, start = (grown, start_of[-1]) if grown >= fresh_one else (fresh_one, end - 1)
+            known_from.append(score)
+            start_of.append(start)
+            for s in range(max(0, end - self.longest), end):
+                p = self.log_word.get(run[s:end])
+                if p is not None and best[s][0] + p > score:
+                    score, start = best[s][0] + p, s
+            best.append((score, start))
         out, at = [], len(run)
         while at:
             start = best[at][1]
@@ -86,11 +114,11 @@ class UrlModel:
         return tuple(reversed(out))
 
     def words(self, host: str, path: str) -> list[str]:
-        return [w for run in re.findall(r"[^\W\d_]+", f"{host} {path}".lower()) for w in self.segment(run)]
+        return [w for run in re.findall(_LETTERS, f"{host} {path}".lower()) for w in self.segment(run)]
 
-    def log_odds(self, host: str, path: str) -> float:
+    def log_odds(self, words: list[str]) -> float:
         """Above 0 speaks for block."""
-        known = [self.odds[w] for w in self.words(host, path) if w in self.odds]
+        known = [self.odds[w] for w in words if w in self.odds]
         return self.prior + sum(known) if known else min(self.prior, 0.0)
 
 
@@ -116,23 +144,53 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
     return out
 
 
+def learn(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, most_words: int = MOST_WORDS) -> UrlModel:
+    """A model of all urls of ``pages``; at most ``most_words`` counts and one total reach the driver."""
+    url = F.col(f"`{url_col}`")
+    rows = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).where("host != ''")
+    rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"\p{L}+"), F.lit(0))
+    named = F.regexp_extract_all(F.lower(F.coalesce("rule.rule", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    # by host first, so that a busy host counts once and its rows are gathered by no one task
+    pairs = rows.select("host", F.col("rule.verdict").alias("verdict"), F.explode(F.array_distinct(F.concat(runs, F.array(F.lit(""))))).alias("word"), named.alias("named"))
+    pairs = pairs.where(F.length("word") <= MOST_LETTERS)
+    told = F.when(F.array_contains("named", F.col("word")), None).otherwise(F.col("verdict"))
+    by_host = pairs.groupBy("host", "word").agg(F.max(told == "block").cast("int").alias("block"), F.max(told == "allow").cast("int").alias("allow"))
+    counts = by_host.groupBy("word").agg(F.count("*").alias("hosts"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    kept = counts.where((F.col("hosts") >= MIN_HOSTS) | (F.col("word") == "")).orderBy(F.col("word") != "", F.desc("hosts"), "word").limit(most_words + 1).collect()
+    known = [r for r in kept if r["word"]]
+    total = next(((r["block"] or 0, r["allow"] or 0) for r in kept if not r["word"]), (0, 0))  # each url has the empty word
+    return UrlModel({r["word"]: r["hosts"] for r in known}, {r["word"]: r["block"] for r in known if r["block"]}, {r["word"]: r["allow"] for r in known if r["allow"]}, total)
+
+
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None) -> DataFrame:
-    """``pages`` with host, path, words, log_odds, rule, verdict; a column of such a name gives way to the new one."""
-    sent = pages.sparkSession.sparkContext.broadcast((model or UrlModel()).counts)
+    """``pages`` with host, path, words, log_odds, rule, verdict; without a model one is learnt from these pages."""
+    sent = pages.sparkSession.sparkContext.broadcast(model or learn(pages, url_col, rules))
 
     @F.pandas_udf("words array<string>, log_odds double")
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = UrlModel.__new__(UrlModel)
-        own.__init__({c: tuple(w for w, n in x.items() for _ in range(n)) for c, x in sent.value.items()})
+        own: UrlModel = sent.value
+        seen: dict[str, tuple[str, ...]] = {}
         for pdf in parts:
-            hosts, paths = pdf["host"].tolist(), pdf["path"].tolist()
-            yield pd.DataFrame({"words": [own.words(h, p) for h, p in zip(hosts, paths)], "log_odds": [own.log_odds(h, p) for h, p in zip(hosts, paths)]})
-
-    url = F.col(url_col)
-    split = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    found = split.withColumn("__scored", scored(F.struct("host", "path"))).withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__scored.log_odds") > 0, "block").otherwise("allow"))
-    return found.withColumns({"words": F.col("__scored.words"), "log_odds": F.col("__scored.log_odds"), "rule": F.col("__rule.rule"), "verdict": verdict}).drop("__scored", "__rule")
+            seen.clear()  # runs that recur in a batch are split once
+            words = []
+            for host, path in zip(pdf["host"].tolist(), pdf["path"].tolist()):
+                found: list[str] = []
+                for run in re.findall(_LETTERS, f"{host} {path}".lower()):
+                    if run not in seen:
+                        seen[run] = own.segment(run)
+                    found += seen[run]
+                words.append(found)
+            yield pd.DataFrame({"words": words, "log_odds": [own.log_odds(w) for w in words]})
+
+    pages = without(pages, ("host", "path", "words", "log_odds", "rule", "verdict"), url_col)
+    url = F.col(f"`{url_col}`")
+    score, rule, parts = (fresh(pages, x) for x in ("scored", "fits", "parts"))
+    split = pages.withColumn(parts, F.struct(host_of(url).alias("host"), path_of(url).alias("path")))
+    found = split.withColumn(score, scored(F.col(parts))).withColumn(rule, rule_for(F.col(parts)["host"], F.col(parts)["path"], rules))
+    verdict = F.coalesce(F.col(rule)["verdict"], F.when(F.col(score)["log_odds"] > 0, "block").otherwise("allow"))
+    results = {"host": F.col(parts)["host"], "path": F.col(parts)["path"], "words": F.col(score)["words"], "log_odds": F.col(score)["log_odds"], "rule": F.col(rule)["rule"], "verdict": verdict}
+    return found.select(*(F.col(f"`{c}`") for c in pages.columns if c not in results), *(c.alias(k) for k, c in results.items()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
