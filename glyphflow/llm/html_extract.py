@@ -3,10 +3,11 @@
 Every page is parsed leniently into a tree.  Each element's subtree is hashed over tag
 names and texts; the hashes are counted per host in Spark, once for each different
 surrounding, and a subtree that recurs in many of them is template and is deleted: on a
-large share of its host's pages, or often enough whatever the host's size.  What
-lies inside the page's article is spared, except for containers other than text blocks
-on more than half of the host's pages.  Elements that declare themselves as menus,
-headers, footers, sidebars, notices, adverts, forms or comments go everywhere.
+large share of its host's pages, or often enough whatever the host's size.  Inside the
+page's article only subtrees go that are on more than half of the host's pages, and
+text blocks of fewer than ``CHANCE_WORDS`` words, which recur by chance, never.  Elements
+that declare themselves as menus, headers, footers, sidebars, notices, adverts, forms or
+comments, by tag, role or a class that says nothing else, go everywhere.
 
 The text is that of the articles (``article``, ``main``, role=main), or of the body of a
 page without any: one block per block-level element, white space runs as one space,
@@ -22,7 +23,9 @@ beyond, each page fetches its own by a join.
 
 Defined results: a null or empty html has an empty text; markup that isn't closed ends
 where HTML's implied end tags or the enclosing element end it; rows that repeat a page
-or nearly so count as one page of their host; a url without host has the empty host.
+or nearly so count as one page of their host; a url without host has the empty host;
+pages are read whole, whatever their length; an empty table gives no rows; columns of
+``pages`` stay, but for one named ``main_text``, which gives way to the result.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, table, without
 from .url_filter import host_of
 
 #: A subtree is template if it is on so many pages of its host, and on so large a share of them.
@@ -50,15 +54,18 @@ _OUTSIDE, _SHORT, _INSIDE = 0, 1, 2
 _RANKS = 3
 BROADCAST_KEYS = 500_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+# a quote counts only behind "=", and only if it is closed
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>?", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe noembed noframes xmp title textarea svg math".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption caption td th".split())
-_DROPPED = frozenset("nav footer aside form script style noscript template iframe button select input textarea label menu dialog svg math object embed canvas audio video head title".split())
-_DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription popup modal widget toolbar pagination pager skip".split())
+_DROPPED = frozenset("nav footer aside form script style noscript template iframe button select input textarea menu dialog svg math object embed canvas audio video head title".split())
+#: A class or id declares an element if all its words are among these, one of the first row's at least.
+_DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion banner cookie cookies consent notice menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments replies sharing social related newsletter subscribe popup modal toolbar pagination".split())
+_PLACE_WORDS = frozenset("site page main top bottom left right side box bar block slot container wrapper area section list widget links reader readers user users".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _SPACE = " \t\n\r\f"
 _DIGIT = re.compile(r"\d")
@@ -143,8 +150,9 @@ def _declared(e: _Element, inside: bool) -> bool:
     """Whether the element says itself that it isn't main text."""
     if e.tag in _DROPPED or e.tag == "header" and not inside or "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or e.attrs.get("role") in _DROPPED_ROLES:
         return True
-    words = re.split(r"[^a-z]+", f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower())
-    return e.tag not in ("body", "html", "article", "main") and not _DROPPED_WORDS.isdisjoint(words) or "display:none" in e.attrs.get("style", "").replace(" ", "").lower()
+    names = [re.split("[-_]+", n) for n in f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower().split()]
+    says = any(not _DROPPED_WORDS.isdisjoint(n) and _DROPPED_WORDS.union(_PLACE_WORDS).issuperset(n) for n in names)
+    return e.tag not in ("body", "html", "article", "main") and says or "display:none" in e.attrs.get("style", "").replace(" ", "").lower()
 
 
 def digests(root: _Element) -> dict[int, bytes]:
@@ -183,6 +191,17 @@ def _walk(root: _Element) -> Iterator[tuple[_Element, bool, bool]]:
         yield e, inside, id(e) in holds
 
 
+def _has_words(e: _Element, least: int) -> bool:
+    todo: list[object] = [e]
+    while todo and least > 0:
+        node = todo.pop()
+        if isinstance(node, str):
+            least -= len(node.split())
+        else:
+            todo += node.children
+    return least <= 0
+
+
 def candidates(root: _Element, host: str) -> list[tuple[int, bool, _Element]]:
     """(key, inside an article, element) of the subtrees that may be template."""
     has_article = any(_is_article(e) for e, _, _ in _walk(root))
@@ -191,9 +210,9 @@ def candidates(root: _Element, host: str) -> list[tuple[int, bool, _Element]]:
     for e, inside, holds in _walk(root):
         if holds or e.tag in ("html", "head", "body") or not e.children:
             continue
-        if inside and e.tag in _TEXT_BLOCKS or not inside and not has_article and e.tag in ("b", "i", "a", "em", "strong", "span"):
+        if not inside and not has_article and e.tag in ("b", "i", "a", "em", "strong", "span") or inside and e.tag not in _BLOCKS:
             continue
-        if inside and e.tag not in _BLOCKS:
+        if inside and e.tag in _TEXT_BLOCKS and not _has_words(e, CHANCE_WORDS):
             continue
         out[_key(host, by[id(e)])] = inside, e
     return [(k, *v) for k, v in out.items()]
@@ -315,33 +334,36 @@ def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
     """``pages`` with main_text, the page's text without templates."""
+    pages = without(pages, ("main_text",), url_col, html_col)
     columns = pages.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", main_text string"
+    host, page, keys_of = (fresh(pages, x) for x in ("host", "html", "keys"))
     templates = find_templates(pages, url_col, html_col, **options)
     few = templates.limit(broadcast_keys + 1).collect()
-    rows = pages.select(*columns, host_of(F.col(url_col)).alias("__host"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
+    rows = pages.select(*(F.col(f"`{c}`") for c in columns), host_of(F.col(url_col)).alias(host), F.coalesce(F.col(html_col), F.lit("")).alias(page))
     if len(few) <= broadcast_keys:
         sent = pages.sparkSession.sparkContext.broadcast(frozenset(r["key"] for r in few))
-        rows = rows.withColumn("__keys", F.lit(None).cast("array<bigint>"))
+        rows = rows.withColumn(keys_of, F.lit(None).cast("array<bigint>"))
     else:
         sent = None
 
         def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [[k for k, *_ in candidates(parse(p), h)] for h, p in zip(_column(batch, "__host"), _column(batch, "__html"))]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__page")), pa.array(found, pa.list_(pa.int64()))], names=["__page", "keys"])
+                found = [[k for k, *_ in candidates(parse(p), h)] for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["digest", "keys"])
 
-        rows = rows.withColumn("__page", F.sha2(F.concat_ws("\n", "__host", "__html"), 256))
-        keys = rows.select("__page", "__host", "__html").mapInArrow(own_keys, "__page string, keys array<bigint>").select("__page", F.explode("keys").alias("key")).distinct()
-        mine = keys.join(templates, "key").groupBy("__page").agg(F.collect_list("key").alias("__keys"))
-        rows = rows.join(mine, "__page", "left").drop("__page")
+        digest = fresh(pages, "digest")
+        rows = rows.withColumn(digest, F.sha2(F.concat_ws("\n", host, page), 256))
+        keys = rows.select(digest, host, page).mapInArrow(own_keys, "digest string, keys array<bigint>").select("digest", F.explode("keys").alias("key")).distinct()
+        mine = keys.join(templates, "key").groupBy(F.col("digest").alias(digest)).agg(F.collect_list("key").alias(keys_of))
+        rows = rows.join(mine, digest, "left").drop(digest)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(columns)
         for batch in batches:
-            texts = [main_text(parse(p), h, sent.value if sent is not None else set(k or ())) for h, p, k in zip(_column(batch, "__host"), _column(batch, "__html"), _column(batch, "__keys"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())], names=[*columns, "main_text"])
+            texts = [main_text(parse(p), h, sent.value if sent is not None else set(k or ())) for h, p, k in zip(*(batch.column(n + i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())], names=[*columns, "main_text"])
 
-    return rows.select(*columns, "__host", "__html", "__keys").mapInArrow(emit, schema)
+    return rows.select(*(F.col(f"`{c}`") for c in columns), host, page, keys_of).mapInArrow(emit, T.StructType([*pages.schema, T.StructField("main_text", T.StringType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
