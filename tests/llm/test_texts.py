@@ -208,7 +208,7 @@ def test_language_id(spark, sf):
 def test_gradients_are_right():
     import numpy as np
 
-    net = language_id.train([b"abcab", b"xyzzy"], ["p", "q"], hidden=3)
+    net = language_id.train([b"abcab", b"xyzzy"], ["p", "q"], hidden=3, updates=1)
     for w in [*net.inputs, *net.recurrent]:
         w[...] = np.random.default_rng(0).standard_normal(w.shape) * 0.3
     x = np.frombuffer(b"abcdxyzb", dtype=np.uint8).reshape(1, 8)
@@ -275,7 +275,7 @@ def pieces():
 
 
 def test_pieces(spark, docs, nothing, pieces):
-    odd = [(10_000, "  a  b \n\t▁x <s> <0x41> \u0001"), (10_001, " " * 70), (10_002, "q" * 300), (10_003, "Ünïcödé 漢字 😀"), (10_003, "again")]
+    odd = [(10_000, "  a  b \n\t▁x <s> <0x41> \u0001"), (10_001, " " * 70), (10_002, "q" * 300), (10_003, "Ünïcödé 漢字 😀"), (10_003, "again"), (10_004, "a\0b\0\0c \0"), (10_005, "the" * 700), (10_006, "the" * 700)]
     df = docs.union(frame(spark, odd))
     encoded = sentence_pieces.encode(df, pieces=pieces)
     rows = sentence_pieces.decode(encoded, pieces=pieces).collect()
@@ -285,8 +285,24 @@ def test_pieces(spark, docs, nothing, pieces):
         if r["text"] is None:
             assert r["piece_ids"] is None
         else:
-            assert r["piece_ids"] == [i for u in (pieces.units.findall(" " + r["text"]) if r["text"] else []) for i in pieces.split(u)]
+            assert r["piece_ids"] == (pieces.split(" " + r["text"]) if r["text"] else [])  # the best split of the whole text, uncut
     assert sentence_pieces.encode(nothing, pieces=pieces).count() == 0
+    named = df.limit(3).selectExpr("doc_id", "text", "1 AS piece_ids", "2 AS Decoded", "3 AS batch", "4 AS counts")
+    again = sentence_pieces.decode(sentence_pieces.encode(named, pieces=pieces), pieces=pieces)
+    assert again.columns == ["doc_id", "text", "batch", "counts", "piece_ids", "decoded"] and all(r["decoded"] == r["text"] for r in again.collect())
+
+
+def test_units_of_one_hash_are_told_apart(pieces, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["the cat, the hat", None, "", "a cat"])
+    want = [t for s in sentence_pieces._slices(pieces, texts) for t in [s.data[a : a + n].tobytes().decode() for a, n in zip(s.start.tolist(), s.size.tolist())]]
+    real = sentence_pieces._unit_hashes
+    monkeypatch.setattr(sentence_pieces, "_unit_hashes", lambda *a: (real(*a)[0] & np.uint64(1), real(*a)[1]))
+    slices = list(sentence_pieces._slices(pieces, texts))
+    units, _, _, places = sentence_pieces._distinct(slices)
+    assert units.take(pa.array(places[0])).to_pylist() == want and len(units) == len(set(want)) and "".join(want) == " the cat, the hat a cat"
 
 
 def test_split_is_the_best_split(pieces):
