@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,13 +32,17 @@ def _compat_pairs() -> dict[int, str]:
 COMPAT = _compat_pairs()
 
 
+_ANY_COMPAT = re.compile("[" + "".join(map(chr, COMPAT)) + "]")
+
+
 def fold_compat(column: Column) -> Column:
     """Compatibility ideographs folded, everything else untouched; null stays null."""
-    return F.translate(column, "".join(map(chr, COMPAT)), "".join(COMPAT.values()))
+    odd = column.rlike("[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _COMPAT_BLOCKS) + "]")
+    return F.when(odd, F.translate(column, "".join(map(chr, COMPAT)), "".join(COMPAT.values()))).otherwise(column)
 
 
 def fold_compat_text(text: str) -> str:
-    return text.translate(COMPAT)
+    return text.translate(COMPAT) if not text.isascii() and _ANY_COMPAT.search(text) else text
 
 
 def strip_pua(column: Column) -> Column:

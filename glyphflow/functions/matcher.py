@@ -1,22 +1,32 @@
 """Leftmost-longest matching: the model in plain Python, and its forms as column expressions.
 
-A matcher is a set of rules key -> value.  As a column expression it takes one of three
-forms by the size of the set: ``translate`` if keys and values are single characters,
-a tokenising regular expression with a literal map up to ``NATIVE_RULES`` rules, and an
-Arrow UDF over a broadcast table beyond.  All agree with ``convert_text``.
+A matcher is a set of rules key -> value.  As a column expression it is ``translate`` if
+keys and values are single characters, and an Arrow UDF over the broadcast rules
+otherwise.  A tokenising regular expression with a literal map, which stays in the JVM, is
+there up to ``NATIVE_RULES`` rules for those who want it; it was slower at every size in
+our measurements, as Spark's map lookups are linear and its tokens rows of an array.  All
+agree with ``convert_text``.
+
+In Python, keys are found by one compiled pattern: the keys' trie as nested groups if
+they begin with at most ``TRIE_STARTS`` different characters, and else the class of their
+first characters, where a table of lengths tells which keys to look up.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to here the native form was the faster one in our measurements.
+#: The native forms' literal map is searched from one end; larger sets don't take them.
 NATIVE_RULES = 100
+#: Alternatives are tried one by one, so a trie of many first characters would be slow.
+TRIE_STARTS, TRIE_LENGTH = 64, 200
 
 Rules = str | Iterable[tuple[str, str]]
 
@@ -30,6 +40,30 @@ def parse_rules(rules: Rules) -> list[tuple[str, str]]:
     return [(k, v) for k, v in pairs if k and v]
 
 
+def _trie_pattern(keys: list[str]) -> str:
+    """A pattern with one group that takes the longest of the sorted keys at a place."""
+
+    def node(first: int, last: int, depth: int) -> str:
+        """Keys first .. last - 1, which share ``depth`` characters."""
+        ends = len(keys[first]) == depth
+        first += ends
+        branches = []
+        while first < last:
+            to = first
+            while to < last and keys[to][depth] == keys[first][depth]:
+                to += 1
+            shared = len(commonprefix((keys[first], keys[to - 1])))
+            branches.append(re.escape(keys[first][depth:shared]) + node(first, to, shared))
+            first = to
+        if not branches:
+            return ""
+        if all(len(b) == 1 for b in branches):
+            return f"[{''.join(branches)}]" + "?" * ends
+        return f"(?:{'|'.join(branches)})" + "?" * ends
+
+    return f"({node(0, len(keys), 0)})"
+
+
 class Matcher:
     """Rules, of which the last wins among those with the same key."""
 
@@ -45,6 +79,9 @@ class Matcher:
     def __len__(self) -> int:
         return len(self.rules)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_starts")}
+
     def longest(self, text: str, start: int) -> tuple[int, str | None]:
         """(end, value) of the longest key at ``start`` in code points, or (0, None)."""
         if start < len(text):
@@ -54,32 +91,71 @@ class Matcher:
                     return start + n, value
         return 0, None
 
+    @cached_property
+    def _trie(self) -> re.Pattern | None:
+        """Finds the leftmost longest key; None if a trie would be slow."""
+        if not self.rules or len(self._lengths) > TRIE_STARTS or max(map(len, self.rules)) > TRIE_LENGTH:
+            return None
+        return re.compile(_trie_pattern(sorted(self.rules)))
+
+    @cached_property
+    def _starts(self) -> re.Pattern:
+        return re.compile("[" + "".join(map(re.escape, self._lengths)) + "]")
+
+    def _matches(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, value) of each match where there is no trie."""
+        if not self.rules:
+            return
+        search, longest = self._starts.search, self.longest
+        m = search(text)
+        while m:
+            start = m.start()
+            end, value = longest(text, start)
+            if end:
+                yield start, end, value
+            m = search(text, end or start + 1)
+
     def pieces(self, text: str) -> Iterator[tuple[str, str | None]]:
         """The text in pieces: (key, value) of each match, (run, None) of each maximal stretch without one."""
-        at = run = 0
-        while at < len(text):
-            end, value = self.longest(text, at)
-            if end:
-                if run < at:
-                    yield text[run:at], None
-                yield text[at:end], value
-                at = run = end
-            else:
-                at += 1
-        if run < at:
-            yield text[run:at], None
+        if self._trie is not None:
+            for i, piece in enumerate(self._trie_split(text)):
+                if piece:
+                    yield piece, self.rules[piece] if i % 2 else None
+            return
+        at = 0
+        for start, end, value in self._matches(text):
+            if at < start:
+                yield text[at:start], None
+            yield text[start:end], value
+            at = end
+        if at < len(text):
+            yield text[at:], None
+
+    def _trie_split(self, text: str) -> list[str]:
+        """Runs and matches by turns; the pattern's one group is all of it."""
+        return self._trie.split(text)
 
     def convert_text(self, text: str) -> str:
-        return "".join(s if v is None else v for s, v in self.pieces(text))
+        if self._trie is not None:
+            rules = self.rules
+            return self._trie.sub(lambda m: rules[m[0]], text)
+        out, at = [], 0
+        for start, end, value in self._matches(text):
+            out += (text[at:start], value)
+            at = end
+        return "".join((*out, text[at:])) if at else text
 
     def segment_text(self, text: str) -> list[str]:
+        if self._trie is not None:
+            return [s for s in self._trie_split(text) if s]
         return [s for s, _ in self.pieces(text)]
 
     # as expressions
 
     @property
     def native(self) -> bool:
-        return len(self.rules) <= NATIVE_RULES or self._characters
+        """Whether the column form needs no Python."""
+        return self._characters
 
     @property
     def _characters(self) -> bool:
@@ -96,16 +172,15 @@ class Matcher:
             return column
         if self._characters:
             return F.translate(column, "".join(self.rules), "".join(self.rules.values()))
-        tokens = F.regexp_extract_all(column, F.lit(f"(?s)({self._alternatives()}|.)"), F.lit(1))
-        table = self._map()
-        return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), t)), "")
+        return self.replace_native(column, lambda run: run)
 
     def segment_native(self, column: Column) -> Column:
         """Matches and maximal runs without one, as an array."""
         if not self.rules:
             return F.when(column == "", F.expr("cast(array() as array<string>)")).otherwise(F.array(column))
-        keys = self._alternatives()
-        return F.regexp_extract_all(column, F.lit(f"(?s)(?:{keys})|(?:(?!(?:{keys})).)++"), F.lit(0))
+        # a run is passed over up to the next character that may begin a key
+        keys, starts = self._alternatives(), "".join(f"\\x{{{ord(c):x}}}" for c in self._lengths)
+        return F.regexp_extract_all(column, F.lit(f"(?s)(?:{keys})|(?:[^{starts}]++|(?!(?:{keys})).)++"), F.lit(0))
 
     def replace_native(self, column: Column, between: Callable[[Column], Column]) -> Column:
         """Values for matches, ``between`` of each maximal run without one."""

@@ -5,6 +5,7 @@ A converter is a callable from column to column; ``text`` is the same for one st
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -14,6 +15,9 @@ from ..functions.matcher import Matcher, Rules, arrow_expression, parse_rules
 from pyspark.sql import functions as F
 
 
+_PUA = re.compile(f"[{chr(PUA_FIRST)}-{chr(PUA_LAST)}]")
+
+
 class SlotError(ValueError):
     """More different protected values in one text than there are places for them."""
 
@@ -78,18 +82,18 @@ class Protected(Converter):
 
     Private use characters are taken out of the rules; those of the input stay.
     ``strict_slots`` refuses a text that hits more different values than there are
-    private use characters it doesn't itself hold.
+    private use characters it doesn't itself hold; nothing here needs that limit.
     """
 
-    def __init__(self, rules: Rules, inner: Converter, strict_slots: bool = False):
+    def __init__(self, rules: Rules, inner: Converter, strict_slots: bool = True):
         cleaned = [(strip_pua_text(k), strip_pua_text(v)) for k, v in parse_rules(rules)]
         self.matcher, self.inner, self.strict_slots = Matcher(cleaned), inner, strict_slots
         self.native = self.matcher.native and inner.native and not strict_slots
 
     def text(self, text: str) -> str:
         pieces = list(self.matcher.pieces(text))
-        if self.strict_slots:
-            taken = {c for c in text if PUA_FIRST <= ord(c) <= PUA_LAST}
+        if self.strict_slots and len(self.matcher) and len(pieces) > 1:
+            taken = () if text.isascii() else set(_PUA.findall(text))
             if len({v for _, v in pieces if v is not None}) > PUA_LAST - PUA_FIRST + 1 - len(taken):
                 raise SlotError("too many different protected terms in one text")
         return "".join(self.inner.text(s) if v is None else v for s, v in pieces)
@@ -119,7 +123,7 @@ def custom_converter(rules: Rules) -> Chain:
     return chain([rules])
 
 
-def protected(rules: Rules, inner: Converter | Callable[[str], str], strict_slots: bool = False) -> Protected:
+def protected(rules: Rules, inner: Converter | Callable[[str], str], strict_slots: bool = True) -> Protected:
     return Protected(rules, inner if isinstance(inner, Converter) else Function(inner), strict_slots)
 
 

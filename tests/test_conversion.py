@@ -63,14 +63,17 @@ def test_protection(spark):
     assert run(spark, protected([("a", "1")], Function(str.upper)), "xay") == ["X1Y"]
 
 
-def test_slots_are_limited_only_if_wanted():
+def test_slots_are_limited_unless_not_wanted():
     rules = [(f"s{i};", f"d{i}") for i in range(6401)]
     text = "".join(k for k, _ in rules)
-    assert protected(rules, chain()).text(text).startswith("d0d1")
+    assert protected(rules, chain(), strict_slots=False).text(text).startswith("d0d1")
     with pytest.raises(SlotError):
-        protected(rules, chain(), strict_slots=True).text(text)
+        protected(rules, chain()).text(text)
+    assert protected(rules, chain()).text(text[: text.index("s6400;")]).startswith("d0d1")
+    with pytest.raises(SlotError):  # a private use character of the text takes a place away
+        protected(rules, chain()).text(text[: text.index("s6400;")] + "\ue000")
     same = [(f"s{i};", "v") for i in range(6401)]
-    assert protected(same, chain(), strict_slots=True).text(text) == "v" * 6401
+    assert protected(same, chain()).text(text) == "v" * 6401
 
 
 words = st.text(alphabet="ab\n𠀀(", min_size=1, max_size=4)
@@ -156,4 +159,3 @@ def test_every_direction_runs(spark):
         for t in presets.LOCALES:
             made = converter.create_converter(spark, s, t, protected=[])
             assert made.text("") == "" and made.text("abc") == "abc"
-            assert made.native
