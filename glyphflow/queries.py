@@ -253,6 +253,88 @@ def _phrase_pairs() -> list[tuple[str, str]]:
     return [tuple(x.split("\t")) for x in lines if "\t" in x and not x.startswith("#")]
 
 
+def _sample_pairs(name: str) -> list[tuple[str, str]]:
+    """A sample dictionary's entries, read plainly: what the SQL twins are made of."""
+    if name == presets.GENERATED:
+        simple = _sample_step(presets.FROM_STANDARD["cn"])
+        return [(Matcher(simple).convert_text(k), k) for n in ("HKPhrases", "TWPhrases") for k, _ in _sample_pairs(n) if len(k) >= 3]
+    lines = (converter.DATA / "mini" / f"{presets.REVERSED.get(name, name)}.txt").read_text("utf-8").splitlines()
+    fields = [x.split("\t")[:2] for x in lines if "\t" in x and not x.startswith("#")]
+    if name in presets.REVERSED:
+        pairs = converter.reverse_pairs([(k, v) for k, values in fields for v in values.split(" ") if v])
+    else:
+        pairs = [(k, values.split()[0]) for k, values in fields]
+    return [(k, v) for k, v in pairs if k != v or len(k.encode("utf-16-le")) > 2]
+
+
+def _sample_step(names: list[str]) -> list[tuple[str, str]]:
+    return list({k: v for n in names for k, v in _sample_pairs(n)}.items())
+
+
+def _sql_direction(source: str, target: str, custom_phrases: bool | None = None):
+    """SQL text -> SQL text: a direction between regional standards with the sample dictionaries."""
+    steps = [_sample_step(names) for names in presets.dictionary_steps(source, target)]
+    cut = [k for k, _ in _sample_step(presets.segmentation_dictionaries(source, target))]
+    way = presets.phrase_direction(source, target, custom_phrases)
+
+    def run(text: str) -> str:
+        for rules in steps:
+            text = _sql_convert(text, rules) if rules else text
+        return text
+
+    def segmented(text: str) -> str:
+        return f"array_to_string(list_transform({_sql_segments(text, cut)}, lambda seg: {run('seg')}), '')" if cut else run(text)
+
+    if way is None:
+        return segmented
+    phrases = _phrase_pairs() if way == "forward" else converter.reverse_pairs(_phrase_pairs())
+    return lambda text: _sql_protect(text, phrases, segmented)
+
+
+def _sql_values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _sql(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _ablation_sql() -> str:
+    """Leaving out each phrase in turn, e (-1: none), in both ways; the rules of each are a pattern and a map."""
+    (a, b), (c, d) = analysis.KEY_CARRIER, analysis.VALUE_CARRIER
+    parts = []
+    for n, (source, target) in enumerate(analysis.DIRECTIONS):
+        if way := presets.phrase_direction(source, target, True):
+            inner = _sql_direction(source, target, False)
+            segments = "list_filter(string_split(regexp_replace(text, pattern, chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda z: z <> '')"
+            parts.append(f"SELECT {n} AS d, {_sql(f'{source}->{target} ')} AS name, e, text, array_to_string(list_transform({segments}, lambda y: coalesce(m[y], {inner('y')})), '') AS made FROM t, rules WHERE way = '{way}'")
+    quoted = r"regexp_replace(a, '([.+*?()\[\]{}|^$\\])', '\\\1', 'g')"
+    return f"""
+WITH p AS (SELECT * FROM {_sql_values([(i, k, v) for i, (k, v) in enumerate(_phrase_pairs())])} AS p(i, k, v)),
+t AS (SELECT DISTINCT unnest([k, v, {_sql(a)} || k || {_sql(b)}, {_sql(c)} || v || {_sql(d)}]) AS text FROM p),
+left_out AS (SELECT i AS e FROM p UNION ALL SELECT -1),
+pairs AS (
+  SELECT e, 'forward' AS way, k AS a, arg_max(v, i) AS b FROM left_out JOIN p ON i <> e GROUP BY e, k
+  UNION ALL SELECT e, 'reverse', v, coalesce(max(CASE WHEN k = v THEN k END), arg_min(k, i)) FROM left_out JOIN p ON i <> e GROUP BY e, v),
+rules AS (SELECT e, way, '(?s)(' || string_agg({quoted}, '|' ORDER BY length(a) DESC, a) || ')' AS pattern, map_from_entries(list(ROW(a, b))) AS m FROM pairs GROUP BY e, way),
+made AS ({" UNION ALL ".join(parts)}),
+changed AS (
+  SELECT x.e, x.name || x.text || ': ' || w.made || ' -> ' || x.made AS diff, row_number() OVER (PARTITION BY x.e ORDER BY d, x.text) AS place
+  FROM made x JOIN made w USING (d, text) WHERE w.e = -1 AND x.e >= 0 AND x.made <> w.made)
+SELECT k AS key, v AS value, diff AS first_diff FROM p LEFT JOIN changed ON e = i AND place = 1
+"""
+
+
+def _html_sql(restored: bool) -> str:
+    """Pages in English with their ASCII texts in upper case, or back again, where a changed text is escaped anew."""
+    plain = "x"
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        plain = f"replace({plain}, {_sql(entity)}, {_sql(c)})"
+    escaped = lambda u: f"replace(replace(replace({u}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    text = f"CASE WHEN regexp_matches({plain}, '^[\\x00-\\x7F]*$') AND NOT regexp_matches({plain}, '&[a-zA-Z0-9#]+;') AND upper({plain}) <> {plain} THEN {escaped(plain if restored else f'upper({plain})')} ELSE x END"
+    tag = "x" if restored else """CASE WHEN starts_with(x, '<html ') THEN replace(x, 'lang="en"', 'lang="en-x"') ELSE x END"""
+    tokens = r"""'(?s)<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>|<[!?/a-zA-Z][^>]*>|(?:[^<]|<+[^<!?/a-zA-Z])+'"""
+    page = f"array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^<[!?/a-zA-Z]') THEN {tag} ELSE {text} END), '')"
+    slots = "" if restored else ", CAST(CASE WHEN en THEN 1 + len(list_filter(t, lambda x: NOT regexp_matches(x, '^<[!?/a-zA-Z]'))) ELSE 0 END AS BIGINT) AS n_slots"
+    return f"""SELECT page_id, CASE WHEN en THEN {page} ELSE html END AS html{slots} FROM (SELECT page_id, html, regexp_extract_all(html, {tokens}) AS t, regexp_matches(html, '<html lang="en">') AS en FROM pages)"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (convert_custom, convert_many_rules, convert_characters, convert_two_steps, segment_text, convert_segmented, match_longest, phrases_forward, phrases_reverse, protected_layers, convert_regional, convert_one_way, fold_compatibility, strip_private_use, dict_merge, dict_reverse, dict_new, dict_conflicts, dict_summary, dict_drift, dict_pack, dict_unpack, dict_parse, dict_parse_custom, dict_manifest, dict_generate, parity, ablation, relate_upstream, bare_characters, html_pages, html_round_trip)}
 
@@ -267,7 +349,19 @@ def oracle_sql() -> dict[str, str]:
     fields = f"SELECT dict, ord, CASE WHEN strpos(line, chr(9)) > 0 THEN {trim('split_part(line, chr(9), 1)')} ELSE regexp_extract(line, {pair}, 1) END AS key, CASE WHEN strpos(line, chr(9)) > 0 THEN substr(line, strpos(line, chr(9)) + 1) ELSE regexp_extract(line, {pair}, 2) END AS vals, strpos(line, chr(9)) > 0 AS tabbed FROM l WHERE line <> '' AND NOT starts_with(line, '#')"
     value = f"regexp_extract({trim('vals')}, '^([^{_SPACES}]+)', 1)"
     whole = trim("CASE WHEN tabbed THEN split_part(vals, chr(9), 1) ELSE vals END")
+    one_way = f"translate(text, 'therinous', {_sql('出租车地铁默认土豆')})"
+    there, back = _sql_direction("cn", "twp"), _sql_direction("twp", "cn")
+    regional = f"translate(text, 'therinouasld', {_sql('头发理软件数据汉语干才')})"
+    simple = _sql_convert("k", _sample_step(presets.FROM_STANDARD["cn"]))
+    upstream = sorted({k for n in presets.all_dictionaries() for k, _ in _sample_pairs(n)})
     return {
+        "convert_regional": f"SELECT conv_id, turn, text, {', '.join(f'{_sql_direction(s, t)("text")} AS {s}_{t}' for s, t in analysis.DIRECTIONS)} FROM (SELECT conv_id, turn, {regional} AS text FROM conversations)",
+        "convert_one_way": f"SELECT conv_id, turn, there, {back('there')} AS back FROM (SELECT conv_id, turn, {there('text')} AS there FROM (SELECT conv_id, turn, {one_way} AS text FROM conversations))",
+        "dict_generate": f"SELECT key, min(value) AS value FROM (SELECT {simple} AS key, k AS value FROM {_sql_values([(k,) for n in ('HKPhrases', 'TWPhrases') for k, _ in _sample_pairs(n)])} AS p(k) WHERE length(k) >= 3) GROUP BY key",
+        "ablation": _ablation_sql(),
+        "relate_upstream": f"SELECT k AS key, v AS value, CASE WHEN k IN ({', '.join(map(_sql, upstream))}) THEN 'override' WHEN {_sql_direction('cn', 'twp', False)('k')} = v THEN 'equivalent' ELSE 'addition' END AS relation FROM {_sql_values(phrases)} AS p(k, v)",
+        "html_pages": _html_sql(False),
+        "html_round_trip": _html_sql(True),
         "convert_custom": f"SELECT doc_id, {_sql_convert('text', RULES)} AS converted FROM documents",
         "convert_many_rules": f"SELECT doc_id, {_sql_convert('text', MANY)} AS converted FROM documents",
         "convert_characters": f"SELECT conv_id, turn, {han} AS converted FROM conversations",
