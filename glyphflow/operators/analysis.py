@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,8 @@ def ablate(spark: SparkSession, pairs: list[tuple[str, str]], build: Callable[[s
     """(key, value, first_diff): for each entry the first direction and text whose output changes without it; null if none does.
 
     ``build(source, target, pairs)`` gives a converter.  The entries are a custom list
-    of the caller's, so their number of converters is planned on the driver; texts and
+    of the caller's: it bounds the converters (one for each entry and direction) and the
+    texts (four for each entry), which are planned on the driver and broadcast;
     comparisons are rows, a block of directions for each entry left out.
     """
     entries = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(pairs)], "entry int, key string, value string")
@@ -81,12 +83,12 @@ def relate_upstream(custom: DataFrame, upstream: DataFrame, official: Callable[[
 def parity_report(cases: DataFrame, converters: dict[str, Callable[[Column], Column]], known: list[tuple[str, str]] = ()) -> DataFrame:
     """(config, n, mismatches, healed) of cases (id, input, expected map): what differs and isn't known to, and what is known to but no longer differs."""
     spark = cases.sparkSession
-    rows = cases.select("id", "input", F.explode("expected").alias("config", "want"))
-    got = F.lit(None).cast("string")
-    for name, convert in converters.items():
-        got = F.when(F.col("config") == name, convert(F.col("input"))).otherwise(got)
+    # each configuration's rows meet its own converter only
+    cases = cases.select("id", "input", "expected")
+    parts = [cases.where(F.map_contains_key("expected", name)).select(F.lit(name).alias("config"), "id", convert(F.col("input")).eqNullSafe(F.element_at("expected", F.lit(name))).alias("same")) for name, convert in converters.items()]
+    rows = functools.reduce(DataFrame.unionByName, parts)
     listed = spark.createDataFrame(list(known) or [("", "")], "config string, id string").withColumn("listed", F.lit(True))
-    rows = rows.where(F.col("config").isin(list(converters))).withColumn("same", got.eqNullSafe(F.col("want"))).join(listed, ["config", "id"], "left")
+    rows = rows.join(listed, ["config", "id"], "left")
     is_known = F.coalesce(F.col("listed"), F.lit(False))
     return rows.groupBy("config").agg(F.count("*").alias("n"), F.count_if(~F.col("same") & ~is_known).alias("mismatches"), F.count_if(F.col("same") & is_known).alias("healed"))
 

@@ -12,6 +12,10 @@ class DictionaryError(ValueError):
     """A dictionary that can't be used as it is."""
 
 
+class MissingDictionary(DictionaryError):
+    """A dictionary that isn't there."""
+
+
 def merge_group(entries: DataFrame, order: list[str]) -> DataFrame:
     """(key, value): the dictionaries of one step as one, in which later ones, and later entries of each, win."""
     place = F.array_position(F.array(*(F.lit(n) for n in order)), F.col("dict"))
@@ -92,16 +96,17 @@ def _files(node: object) -> list[str]:
 
 
 def chain_differences(configs: dict[str, dict], expected: dict[str, tuple[int, list[str]]], unavailable: tuple[str, ...] = ()) -> list[tuple[str, list[str], list[str]]]:
-    """(configuration, its dictionaries, ours) where a step's dictionaries, first priority first, aren't ours turned around."""
+    """(configuration, its dictionaries, ours) where a step's dictionaries, first priority first, aren't ours turned around; a missing configuration or step has none."""
     out = []
     for name, (step, ours) in expected.items():
-        theirs = [f for f in _files(configs[name]["conversion_chain"][step]) if f not in unavailable]
+        steps = configs.get(name, {}).get("conversion_chain", [])
+        theirs = [f for f in _files(steps[step] if step < len(steps) else []) if f not in unavailable]
         if theirs != ours[::-1]:
             out.append((name, theirs, ours[::-1]))
     return out
 
 
 def segmentation_differences(configs: dict[str, dict], expected: dict[str, list[str]], unsegmented: list[str]) -> list[str]:
-    """Configurations that cut on other dictionaries than expected, or cut though they shouldn't."""
-    out = [n for n, ours in expected.items() if sorted(_files(configs[n].get("segmentation", {}))) != sorted(ours)]
-    return out + [n for n in unsegmented if _files(configs[n].get("segmentation", {})) and n in configs and _files(configs[n]["segmentation"])]
+    """Configurations that cut on other dictionaries than expected, or cut though they shouldn't; a missing one cuts on none."""
+    cut = lambda n: _files(configs.get(n, {}).get("segmentation", {}))
+    return [n for n, ours in expected.items() if sorted(cut(n)) != sorted(ours)] + [n for n in unsegmented if cut(n)]

@@ -79,3 +79,66 @@ def test_write_prunes_by_dictionary(spark, tmp_path):
     D.write_dictionaries(D.from_pairs(spark, "a", [("k", "v")]).union(D.from_pairs(spark, "b", [("k", "v")])), str(tmp_path / "d"))
     plan = spark.read.parquet(str(tmp_path / "d")).where(F.col("dict") == "a")
     assert plan.count() == 1 and len(plan.inputFiles()) >= 1
+
+
+def test_stores(spark, tmp_path):
+    import pytest
+
+    from glyphflow.plans import converter
+
+    folder = tmp_path / "dicts"
+    folder.mkdir()
+    (folder / "TSCharacters.txt").write_text("漢\t汉 x\n語\t语\n同\t同\n", "utf-8")
+    (folder / "TSPhrases.txt").write_text("# nothing\n", "utf-8")
+    (folder / "HKVariants.txt").write_text(" <html>not found</html>", "utf-8")
+    assert D.list_files(spark, str(folder)) == ["HKVariants", "TSCharacters", "TSPhrases"]
+    with pytest.warns(UserWarning, match="listed"):
+        assert D.list_files(spark, str(folder / "none")) is None
+    store = converter.DictionaryStore(spark, str(folder))
+    assert store.pairs("TSCharacters") == [("漢", "汉"), ("語", "语")]
+    for name, error in (("TSPhrases", dict_etl.MissingDictionary), ("STPhrases", dict_etl.MissingDictionary), ("HKVariants", dict_etl.DictionaryError)):
+        with pytest.raises(error):
+            store.pairs(name)
+    with pytest.warns(UserWarning, match="left out"):
+        made = converter.create_converter(spark, "t", "cn", protected=[], dictionaries_at=str(folder))
+    assert made.text("漢語") == "汉语"
+    with pytest.raises(dict_etl.DictionaryError, match="missing from t2cn bundle"):
+        converter.t2cn(spark, "t", dictionaries_at=str(folder))
+    (folder / "TSCharacters.txt").write_text("漢\tH\n", "utf-8")
+    assert len(store.pairs("TSCharacters")) == 2
+    store.refresh()
+    assert store.pairs("TSCharacters") == [("漢", "H")]
+
+
+def test_a_store_of_parquet(spark, tmp_path):
+    from glyphflow.plans import converter
+
+    path = str(tmp_path / "all.parquet")
+    D.write_dictionaries(D.from_pairs(spark, "TSCharacters", [("漢", "汉")]).union(D.from_pairs(spark, "HKVariants", [("a", "b"), ("c", "b"), ("b", "b")])), path)
+    store = converter.DictionaryStore(spark, path)
+    assert store.pairs("TSCharacters") == [("漢", "汉")]
+    assert store.pairs("HKVariants") == [("a", "b"), ("c", "b")] and store.known_pairs("HKVariantsRev", None) == []
+    plan = D.read_dictionary(spark, path, "TSCharacters")
+    assert "PartitionFilters: [isnotnull(dict" in plan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_golden_cases(spark):
+    files = spark.createDataFrame([("g", '{"cases": [{"id": "a,]", "input": "x\\"", "expected": {"s2t": "y",},},\n {"id": "b", "input": "", "expected": {}},\n],}')], "dict string, content string")
+    assert [(r["id"], r["input"], r["expected"]) for r in D.golden_cases(files).collect()] == [("a,]", 'x"', {"s2t": "y"}), ("b", "", {})]
+
+
+def test_missing_configurations_are_differences():
+    assert dict_etl.chain_differences({}, {"s": (0, ["A"])}) == [("s", [], ["A"])]
+    assert dict_etl.segmentation_differences({}, {"s": ["A"]}, ["n"]) == ["s"]
+
+
+def test_each_configuration_meets_its_own_converter(spark):
+    cases = spark.createDataFrame([("1", "a", {"x": "b", "y": "a"}), ("2", "a", {"y": "c"})], "id string, input string, expected map<string,string>")
+    got = {r["config"]: (r["n"], r["mismatches"], r["healed"]) for r in analysis.parity_report(cases, {"x": chain([[("a", "b")]]), "y": chain()}, [("y", "1")]).collect()}
+    assert got == {"x": (1, 0, 0), "y": (2, 1, 1)}
+
+
+def test_public_surface():
+    import glyphflow
+
+    assert all(hasattr(glyphflow, n) for n in glyphflow.__all__)
