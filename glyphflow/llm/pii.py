@@ -9,16 +9,22 @@ and on base matches, kept or failed, as well: a strict shape (regex), a list of
 prefixes, endings and key names (gazetteer), and cue words shortly before (context).
 The vote patterns are counted over the whole corpus; expectation-maximisation over
 these few counts estimates how reliable each labeler is on each kind and how likely a
-candidate with given votes is real.  A logistic classifier over votes, kind and length
-is then fitted to those probabilities, and adds the candidates it is sure of.  What
-reaches the driver is one row for each pattern of votes, whatever the corpus.
+candidate with given votes is real.  A logistic classifier over votes, kind, length, kinds
+of characters and their variety is then fitted to those probabilities, and adds the
+candidates it is sure of.  What
+reaches the driver is one row for each pattern of votes and features, whatever the corpus.
 
 Places come from splitting a text at the matches of a pattern: lengths of gaps and
-matches add up to code point offsets.  All patterns are written so that a text of any
-length and content is scanned in linear time without recursion.
+matches add up to code point offsets.  Wider patterns see blanks where base spans are, so
+nothing they find overlaps one.  Parts of a text are taken from its UTF-32 form, where
+each is found at once.  All patterns are written so that a text of any length and content
+is scanned in linear time without recursion, and so is a redaction.
 
 Defined results: a null text is empty and has no spans; spans of one kind never overlap;
-an added span never overlaps a base span.
+an added span never overlaps a base span; repeated rows are judged row by row, and each
+counts in the estimates; texts are read whole, whatever their length; an empty table
+gives no rows; columns of ``docs`` stay, but for ones named ``pii_base`` or ``pii_spans``,
+which give way to the results.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, without
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -57,7 +63,7 @@ _SECRET = rf"(?<![A-Za-z0-9_-])(?:(?=[A-Za-z0-9_-]*?{_NAMED}){_KEY}{_SEPARATOR}(
 #: Candidates beyond the base patterns: (kind, pattern).
 _WIDE = (
     ("phone", r"(?<![0-9+().-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,8}+"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
     ("secret", rf"{_SECRET}|(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|gh[a-z]_[A-Za-z0-9]{{36}}(?![A-Za-z0-9]))"),
 )
@@ -85,6 +91,8 @@ _CUES = {
 }
 _CONTEXT_CHARS = 30
 ACCEPT = 0.9
+VOTERS = ("shape", "gazetteer", "context")
+TRAITS = ("size", "chars", "variety")
 _PART = 100
 _SPAN = "array<struct<kind:string,start:int,end:int,s:string>>"
 
@@ -134,27 +142,93 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str, want: bool) -> Column:
-    return F.filter(f"__{kind}", lambda x: _valid(kind, x["s"]) == want)
+def _checked(spans: Column, kind: str, want: bool) -> Column:
+    return F.filter(spans, lambda x: _valid(kind, x["s"]) == want)
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda x: x["kind"] == kind)
 
 
-def _matches(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with __base (spans that stand), __failed (base matches that don't) and __wide (candidates beyond)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once, not at each mention."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _wide_text(text: Column) -> Column:
+    return F.encode(text, "UTF-32")
+
+
+def _cut(wide: Column, start: Column, n: Column) -> Column:
+    """Some code points of a text in UTF-32."""
+    return F.decode(F.substring(wide, start * 4 + 1, n * 4), "UTF-32")
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by what ``by`` makes of its (kind, size); a span that starts in another one counts to it."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,size:int>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(acc["at"].alias("start"), x["start"].alias("end"), x["kind"].alias("kind"), (x["end"] - x["start"]).alias("size"))
+        last = F.element_at(acc["out"], -1)
+        longer = F.struct(last["start"].alias("start"), last["end"].alias("end"), last["kind"].alias("kind"), (last["size"] + F.greatest(x["end"] - acc["at"], F.lit(0))).alias("size"))
+        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(new))).otherwise(F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(longer)))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+    # A fold copies what it has gathered at every step, so spans are folded some at a time; a part takes the last run of the one before along.
+    def part(sorted_: Column):
+        def fold(acc: Column, k: Column) -> Column:
+            kept = F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))
+            begin = F.struct(acc["at"].alias("at"), F.slice(acc["open"], F.greatest(F.size(acc["open"]), F.lit(1)), F.lit(1)).alias("out"))
+            more = F.aggregate(F.slice(sorted_, k * _PART + 1, F.lit(_PART)), begin, step)
+            return _bound(more, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["done"], F.array(kept)).alias("done"), m["out"].alias("open")))
+
+        return fold
+
+    def runs(sorted_: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array(none).alias("done"), none.alias("open"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(sorted_) - 1) / _PART).cast("int")), begin, part(sorted_))
+
+    def whole(wide: Column, found: Column) -> Column:
+        pieces = F.transform(F.flatten(F.concat(found["done"], F.array(found["open"]))), lambda r: F.concat(_cut(wide, r["start"], r["end"] - r["start"]), by(r["kind"], r["size"])))
+        return F.concat(F.array_join(pieces, ""), _cut(wide, found["at"], F.lit(1 << 28)))
+
+    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    new = _bound(by_start, lambda o: _bound(runs(o), lambda found: _bound(_wide_text(text), lambda wide: whole(wide, found))))
+    return F.when(F.size(spans) == 0, text).otherwise(new)
+
+
+def _matches(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with base (spans that stand), failed (base matches that don't) and wide (candidates beyond), and the names of these columns.
+
+    Failed matches and candidates come with the text before them.
+    """
+    name = {k: fresh(docs, k) for k in ("raw", "base", "failed", "wide", "blank")}
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     digit = text.rlike("[0-9]")
     present = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
-    raw = docs.withColumns({f"__{k}": _located(text, k, p, present[k]) for k, p in zip(BASE_KINDS, (_EMAIL, _IP, _CARD, _PHONE))})
-    base = F.concat(*(_checked(k, True) for k in BASE_KINDS))
-    failed = F.concat(*(_checked(k, False) for k in BASE_KINDS if k != "email"))
-    maybe = {"phone": digit, "email": text.rlike(r"[\[(]at[\])]"), "ip": F.contains(text, F.lit(":")), "secret": text.rlike("[=:]|AKIA|ASIA|gh[a-z]_")}
-    wide = F.concat(*(_located(text, k, p, maybe[k]) for k, p in _WIDE))
-    out = raw.withColumns({"__base": base, "__failed": failed, "__all": wide}).drop(*(f"__{k}" for k in BASE_KINDS))
-    free = F.filter("__all", lambda x: ~F.exists("__base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return out.withColumn("__wide", free).drop("__all")
+    raw = F.struct(*(_located(text, k, p, present[k]).alias(k) for k, p in zip(BASE_KINDS, (_EMAIL, _IP, _CARD, _PHONE))))
+    out = docs.withColumn(name["raw"], raw)
+    of = lambda k: F.col(name["raw"])[k]
+    base = F.concat(*(_checked(of(k), k, True) for k in BASE_KINDS))
+    failed = F.concat(*(_checked(of(k), k, False) for k in BASE_KINDS if k != "email"))
+    out = out.withColumns({name["base"]: base, name["failed"]: failed}).drop(name["raw"])
+    out = out.withColumn(name["blank"], _replaced(text, F.col(name["base"]), lambda kind, size: F.repeat(F.lit("\n"), size)))
+    blank = F.col(name["blank"])
+    maybe = {"phone": blank.rlike("[0-9]"), "email": blank.rlike(r"[\[(]at[\])]"), "ip": F.contains(blank, F.lit(":")), "secret": blank.rlike("[=:]|AKIA|ASIA|gh[a-z]_")}
+    out = out.withColumn(name["wide"], F.concat(*(_located(blank, k, p, maybe[k]) for k, p in _WIDE))).drop(name["blank"])
+    return out, name
+
+
+def _in_context(spans: Column, text: Column) -> Column:
+    """The spans with the text before each of them."""
+    none = F.expr(f"cast(array() as {_SPAN[:-2]},before:string>>)")
+
+    def seen(wide: Column) -> Column:
+        before = lambda x: _cut(wide, F.greatest(x["start"] - _CONTEXT_CHARS, F.lit(0)), F.least(x["start"], F.lit(_CONTEXT_CHARS)))
+        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), before(x).alias("before")))
+
+    return F.when(F.size(spans) == 0, none).otherwise(_bound(_wide_text(text), seen))
 
 
 def _by_kind(kind: Column, rules: dict[str, str], s: Column, clean: bool = False) -> Column:
@@ -164,28 +238,31 @@ def _by_kind(kind: Column, rules: dict[str, str], s: Column, clean: bool = False
     return out
 
 
-def _votes(span: Column, text: Column) -> list[Column]:
+def _votes(span: Column) -> list[Column]:
     """1 for, 0 against; the context labeler abstains with -1 where it sees no cue."""
     kind, s = span["kind"], span["s"]
-    before = F.substring(text, F.greatest(span["start"] - _CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(_CONTEXT_CHARS)))
     vote = lambda c: F.when(c, 1).otherwise(0)
-    return [vote(_by_kind(kind, _SHAPES, s, clean=True)), vote(_by_kind(kind, _GAZETTEER, s, clean=True)), F.when(_by_kind(kind, _CUES, before), 1).otherwise(-1)]
+    return [vote(_by_kind(kind, _SHAPES, s, clean=True)), vote(_by_kind(kind, _GAZETTEER, s, clean=True)), F.when(_by_kind(kind, _CUES, span["before"]), 1).otherwise(-1)]
 
 
-def _length_class(span: Column) -> Column:
-    n = span["end"] - span["start"]
-    return F.when(n < 13, 0).when(n < 24, 1).otherwise(2)
+def _traits(span: Column) -> dict[str, Column]:
+    """What the classifier sees besides the votes: length, kinds of characters, and their variety over the last 64."""
+    n, s = span["end"] - span["start"], span["s"]
+    has = [F.when(s.rlike(p), bit).otherwise(0) for bit, p in ((1, "[A-Z]"), (2, "[a-z]"), (4, "[0-9]"), (8, r"[^A-Za-z0-9\s]"))]
+    variety = F.size(F.array_distinct(F.split(F.substring(s, -64, 64), "")))
+    return {"size": F.when(n < 13, 0).when(n < 24, 1).otherwise(2), "chars": sum(has[1:], has[0]), "variety": F.when(variety < 8, 0).when(variety < 14, 1).otherwise(2)}
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> list[dict]:
-    """How often each pattern of votes occurs, over all candidates of all texts: at most kinds x origins x votes x lengths rows."""
-    m = _matches(docs.select(F.col(text_col).alias("text")), "text")
-    tagged = lambda c, o: F.transform(c, lambda x: F.struct(F.lit(o).alias("origin"), x.alias("span")))
-    every = m.where("size(__base) + size(__failed) + size(__wide) > 0").select(F.coalesce("text", F.lit("")).alias("text"), F.explode(F.concat(tagged("__base", "base"), tagged("__failed", "failed"), tagged("__wide", "wide"))).alias("c"))
+    """How often each pattern of votes and traits occurs, over all candidates of all texts: rows in proportion to these patterns."""
+    m, name = _matches(docs.select(F.col(f"`{text_col}`").alias("text")), "text")
+    groups = ("base", "failed", "wide")
+    tagged = lambda o: F.transform(_in_context(F.col(name[o]), F.coalesce("text", F.lit(""))), lambda x: F.struct(F.lit(o).alias("origin"), x.alias("span")))
+    some = m.where(sum((F.size(name[o]) for o in groups[1:]), F.size(name[groups[0]])) > 0)
+    every = some.select(F.explode(F.concat(*(tagged(o) for o in groups))).alias("c"))
     span = F.col("c.span")
-    a, b, c = _votes(span, F.col("text"))
-    rows = every.select(F.col("c.origin").alias("origin"), span["kind"].alias("kind"), a.alias("shape"), b.alias("gazetteer"), c.alias("context"), _length_class(span).alias("size"))
-    return [r.asDict() for r in rows.groupBy("origin", "kind", "shape", "gazetteer", "context", "size").count().collect()]
+    rows = every.select(F.col("c.origin").alias("origin"), span["kind"].alias("kind"), *(v.alias(k) for k, v in zip(VOTERS, _votes(span))), *(v.alias(k) for k, v in _traits(span).items()))
+    return [r.asDict() for r in rows.groupBy("origin", "kind", *VOTERS, *TRAITS).count().collect()]
 
 
 def reliabilities(counts: list[dict], rounds: int = 50) -> dict[tuple, float]:
@@ -195,7 +272,7 @@ def reliabilities(counts: list[dict], rounds: int = 50) -> dict[tuple, float]:
     labelers' votes mean.  Vote frequencies are smoothed with a prior that trusts each
     labeler somewhat, so that a kind with few candidates stays near that prior.
     """
-    voters = ("shape", "gazetteer", "context")
+    voters = VOTERS
     out: dict[tuple, float] = {}
     for kind in KINDS:
         rows = [r for r in counts if r["kind"] == kind]
@@ -250,39 +327,34 @@ def fit(counts: list[dict], rounds: int = 400, rate: float = 0.5) -> dict[str, f
 
 def _features(r: dict) -> list[str]:
     k = r["kind"]
-    return [k, f"{k} shape {r['shape']}", f"{k} gazetteer {r['gazetteer']}", f"{k} context {r['context']}", f"{k} size {r['size']}"]
+    return [k, *(f"{k} {x} {r.get(x, 0)}" for x in (*VOTERS, *TRAITS))]
 
 
-def _probability(span: Column, text: Column, weights: dict[str, float]) -> Column:
-    a, b, c = _votes(span, text)
-    names = [span["kind"], *(F.concat_ws(" ", span["kind"], F.lit(n), v.cast("string")) for n, v in (("shape", a), ("gazetteer", b), ("context", c), ("size", _length_class(span))))]
+def _probability(span: Column, weights: dict[str, float]) -> Column:
+    values = [*zip(VOTERS, _votes(span)), *_traits(span).items()]
+    names = [span["kind"], *(F.concat_ws(" ", span["kind"], F.lit(n), v.cast("string")) for n, v in values)]
     known = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.expr("cast(map() as map<string,double>)")
     score = sum((F.coalesce(F.element_at(known, n), F.lit(0.0)) for n in names), F.lit(0.0))
     return 1 / (1 + F.exp(-score))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", weights: dict[str, float] | None = None, accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with pii_base and pii_spans, arrays of (kind, start, end): the base spans, and all spans, by kind and start."""
+def find_pii(docs: DataFrame, text_col: str = "text", weights: dict[str, float] | None = None, accept: float = ACCEPT, into: tuple[str, str] = ("pii_base", "pii_spans")) -> DataFrame:
+    """``docs`` with the base spans and all spans, arrays of (kind, start, end) by kind and start, in columns named ``into``."""
     if weights is None:
         weights = fit(vote_counts(docs, text_col))
-    m = _matches(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = without(docs, into, text_col)
+    m, name = _matches(docs, text_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     plain = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    added = F.filter("__wide", lambda x: _probability(x, text, weights) >= accept)
-    ordered = F.concat(*(F.array_sort(_of_kind(F.concat("pii_base", "__added"), k)) for k in KINDS))
-    return m.withColumns({"pii_base": plain("__base"), "__added": plain(added)}).withColumn("pii_spans", ordered).drop("__base", "__failed", "__wide", "__added")
+    added = F.filter(_in_context(F.col(name["wide"]), text), lambda x: _probability(x, weights) >= accept)
+    m = m.withColumns({name["base"]: plain(F.col(name["base"])), name["wide"]: plain(added)})
+    ordered = F.concat(*(F.array_sort(_of_kind(F.concat(name["base"], name["wide"]), k)) for k in KINDS))
+    return m.select(*(F.col(f"`{c}`") for c in docs.columns if c not in into), F.col(name["base"]).alias(into[0]), ordered.alias(into[1]))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its first one's kind in angle brackets."""
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    folded = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text))))
+    return _replaced(text, spans, lambda kind, size: F.concat(F.lit("<"), F.upper(kind), F.lit(">")))
 
 
 def _listed(spans: Column) -> Column:
