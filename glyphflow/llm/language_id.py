@@ -17,8 +17,8 @@ Defined results: a text that is null or without letters is ``und`` with score 0,
 is every text if there was nothing to learn from; rows without a label are predicted
 like others; equal texts get equal answers; between equally probable languages the first
 by name is taken; texts are read whole, whatever their length; an empty table gives no
-rows; columns of ``docs`` stay, but for ones named ``lang_pred`` or ``score``, which give
-way to the results.
+rows; columns of ``docs`` stay, but for ones named like the results (``lang_pred``,
+``score``), which give way to them.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
 from .common import crc32_of, fresh, table, without
@@ -220,9 +221,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(crc32_of(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, the mean probability of the predicted language."""
-    docs = without(docs, ("lang_pred", "score"), text_col)
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its mean probability, in columns named ``into``."""
+    docs = without(docs, into, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     columns = docs.columns
     source = docs.withColumn(fresh(docs, "letters"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
@@ -239,12 +240,12 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> Dat
                 p = model.document_probabilities(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
                 best = p.argmax(axis=1)
                 langs[row:to] = np.array(model.languages, dtype=object)[best]
-                scores[row:to] = np.clip(p[np.arange(len(p)), best], 0, 1)
+                scores[row:to] = np.clip(p[np.arange(len(p)), best], 0, 1).round(6)  # beyond that the rows beside it would show
                 row = to
             langs[~letters], scores[~letters] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.schema, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return source.mapInArrow(emit, schema)
 
 
