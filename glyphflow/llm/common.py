@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -23,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set,
-    as in tests on one machine, a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``.  Only where all runs in one
+    process, as in tests, a temporary folder stands for it: elsewhere executors couldn't
+    see each other's files there.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -90,7 +95,7 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[roots])], names=["id", "component_id"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, component_id) for every id that has an edge; component_id is the least id of the component.
 
     ``edges`` has two long columns, ``a`` and ``b``, in any order, with repeats and
@@ -105,7 +110,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
     if up.count() <= one_task:
         return checkpoint(up.coalesce(1).mapInArrow(_union_find, "id bigint, component_id bigint"))
     sign = None
-    for _ in range(max_rounds):
+    while True:
         both = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_min(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         small = _with_min(large)
@@ -115,7 +120,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
         if now == sign:
             break
         sign = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = up.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     return up.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
