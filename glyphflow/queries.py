@@ -324,8 +324,9 @@ SELECT k AS key, v AS value, diff AS first_diff FROM p LEFT JOIN changed ON e =
 def _html_sql(restored: bool) -> str:
     """Pages in English with their ASCII texts in upper case, or back again, where a changed text is escaped anew."""
     plain = "x"
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'")):
         plain = f"replace({plain}, {_sql(entity)}, {_sql(c)})"
+    plain = f"regexp_replace({plain}, '&amp;?', '&', 'g')"
     escaped = lambda u: f"replace(replace(replace({u}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     text = f"CASE WHEN regexp_matches({plain}, '^[\\x00-\\x7F]*$') AND NOT regexp_matches({plain}, '&[a-zA-Z0-9#]+;') AND upper({plain}) <> {plain} THEN {escaped(plain if restored else f'upper({plain})')} ELSE x END"
     tag = "x" if restored else """CASE WHEN starts_with(x, '<html ') THEN replace(x, 'lang="en"', 'lang="en-x"') ELSE x END"""
