@@ -8,7 +8,13 @@
 5. ``pieces``: texts become ids of a SentencePiece vocabulary.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the one before kept; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, with their values, whatever further
+columns there are and however they are named.
+
+Defined results: a null text, or one without letters, goes at the first stage; of rows
+that share an id all stay or go together at the second, and of linked ids the least, null
+before all; repeated rows go through the others row by row; an empty table stays empty;
+texts are read whole, whatever their length, and other columns may be null.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import decontaminate, language_id, ngram_join, pii, sentence_pieces
-from glyphflow.llm.common import checkpoint, table
+from glyphflow.llm.common import checkpoint, fresh, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.predict(docs, language_id.learn(docs))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    into = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = language_id.predict(docs, language_id.learn(docs), into=into)
+    return found.where(F.col(into[0]) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(docs).withColumn("text", pii.redact(F.col("text"), F.col("pii_spans")))
+    into = fresh(docs, "pii_base"), fresh(docs, "pii_spans")
+    found = pii.find_pii(docs, into=into).withColumn("text", pii.redact(F.col("text"), F.col(into[1])))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
