@@ -16,10 +16,12 @@ from .operators.chain import Function, chain, protected, segment
 from .operators.html import html_convert, html_restore
 from .plans import converter, presets
 from .sources import dictionaries
+from .streaming.convert import convert_available
 
 LATIN, HAN = "therinous", "地铁默认土豆空调项"
 RULES = [("the", "THE"), ("th", "Þ"), ("er", "3r"), ("ing", "ING+"), ("on the", "UPON"), ("of", "OF")]
 SECOND = [("THE", "D-"), ("Þ", "th"), ("ING+", "in'"), ("r an", "RAN")]
+ASTRAL = [("𠀀𪚥", "one"), ("𪚥😀", "two"), ("😀", "three"), ("𠀀 ", "four")]
 SEGMENTS = ["the", "ing", "tion", "on"]
 #: More rules than the native forms take.
 MANY = [(f"{a}{b}", f"<{b}{a}>") for a in "abcdefghijklmnopqrst" for b in "aeioun"]
@@ -53,6 +55,23 @@ def convert_two_steps(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", chain([RULES], [SECOND])(F.col("text")).alias("converted"))
 
 
+def convert_streamed(spark: SparkSession, d: str) -> DataFrame:
+    return convert_available(spark, f"{d}/conversations.parquet", "text", chain([RULES])).select("conv_id", "turn", "text")
+
+
+def preset_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionaries of every direction, by step and place."""
+    rows = [(s, t, i, j, n) for s in presets.LOCALES for t in presets.LOCALES for i, names in enumerate(presets.dictionary_steps(s, t)) for j, n in enumerate(names)]
+    return spark.createDataFrame(rows, "source string, target string, step long, place long, dict string")
+
+
+def preset_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """What every direction cuts on, and how the custom phrases apply by default, if wanted and if not."""
+    ways = [(None, "by_default"), (True, "wanted"), (False, "unwanted")]
+    rows = [(s, t, "+".join(presets.segmentation_dictionaries(s, t)), *(presets.phrase_direction(s, t, w) for w, _ in ways)) for s in presets.LOCALES for t in presets.LOCALES]
+    return spark.createDataFrame(rows, "source string, target string, dicts string, " + ", ".join(f"{n} string" for _, n in ways))
+
+
 def segment_text(spark: SparkSession, d: str) -> DataFrame:
     found = segment(F.col("text"), Matcher([(s, s) for s in SEGMENTS]))
     return _table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_segments"), F.array_join(found, "|").alias("segments"))
@@ -101,7 +120,23 @@ def convert_one_way(spark: SparkSession, d: str) -> DataFrame:
 
 def fold_compatibility(spark: SparkSession, d: str) -> DataFrame:
     odd = "".join(map(chr, sorted(COMPAT)[:200:25])) + chr(0x2F800)
-    return _table(spark, d, "documents").select("doc_id", fold_compat(F.translate("text", "therinous", odd)).alias("folded"))
+    every = F.lit("".join(map(chr, COMPAT)))
+    return _table(spark, d, "documents").select("doc_id", fold_compat(F.concat(F.translate("text", "therinous", odd), every)).alias("folded"))
+
+
+def convert_astral(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of characters beyond the basic plane, which other engines count as two units."""
+    return _table(spark, d, "documents").select("doc_id", chain([ASTRAL])(F.translate("text", "the", "𠀀𪚥😀")).alias("converted"), longest_match(F.translate("text", "the", "𠀀𪚥😀"), F.lit(1), Matcher(ASTRAL))["end"].cast("long").alias("match_end"))
+
+
+def dict_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    entries = _customer_entries(spark, d).withColumns({"key": F.translate("key", "k1", "\ue000\uf8ff"), "value": F.translate("value", "AB", "\ue123")})
+    return dict_etl.sanitize_rules(entries)
+
+
+def dict_empty(spark: SparkSession, d: str) -> DataFrame:
+    entries = _table(spark, d, "customer").where("c_nationkey % 3 = 1").select(F.col("c_nationkey").cast("string").alias("dict"))
+    return dict_etl.empty_dictionaries(entries, _table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("name")))
 
 
 def strip_private_use(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +199,18 @@ def dict_parse_custom(spark: SparkSession, d: str) -> DataFrame:
     return dictionaries.parse_custom_dict(files)
 
 
+def _tabbed(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("dict"), F.translate("text", ",", "\t").alias("content"))
+
+
+def dict_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return dictionaries.candidates(_tabbed(spark, d))
+
+
+def dict_map(spark: SparkSession, d: str) -> DataFrame:
+    return dictionaries.parse_dict_map(_tabbed(spark, d))
+
+
 def dict_manifest(spark: SparkSession, d: str) -> DataFrame:
     return dict_etl.manifest(_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("dict"), F.col("text").alias("content")))
 
@@ -248,6 +295,26 @@ c AS (SELECT key, arg_max(value, ord) AS value FROM e WHERE dict = 'c' GROUP BY
 s AS (SELECT key, arg_max(value, ord) AS value FROM e WHERE dict = 's' GROUP BY key)"""
 
 
+_PRESET_STEPS_SQL = """
+WITH t(locale, side, dicts) AS (VALUES
+  ('cn', 0, 'STCharacters STPhrases_GeneratedFromRegionalPhrases STPhrases'), ('cn', 1, 'TSCharacters TSPhrases'),
+  ('hk', 0, 'HKVariantsRev HKVariantsRevPhrases'), ('hk', 1, 'HKVariants HKVariantsPhrases'),
+  ('hkp', 0, 'HKVariantsRev HKVariantsRevPhrases HKPhrasesRev'), ('hkp', 1, 'HKVariants HKVariantsPhrases HKPhrases'),
+  ('tw', 0, 'TWVariantsRev TWVariantsRevPhrases'), ('tw', 1, 'TWVariants TWVariantsPhrases'),
+  ('twp', 0, 'TWVariantsRev TWVariantsRevPhrases TWPhrasesRev'), ('twp', 1, 'TWVariants TWVariantsPhrases TWPhrases'),
+  ('jp', 0, 'JPShinjitaiCharacters JPShinjitaiPhrases'), ('jp', 1, 'JPShinjitaiCharactersRev'), ('t', 0, ''), ('t', 1, '')),
+d AS (SELECT locale, side, string_split(dicts, ' ') AS a FROM t),
+p AS (SELECT a.locale AS source, b.locale AS target, a.a AS x, b.a AS y FROM d a, d b WHERE a.side = 0 AND b.side = 1),
+s AS (SELECT source, target, 0 AS step, x AS a FROM p WHERE x <> [''] UNION ALL SELECT source, target, CASE WHEN source = 't' THEN 0 ELSE 1 END, y FROM p WHERE y <> [''])
+SELECT source, target, CAST(step AS BIGINT) AS step, CAST(i - 1 AS BIGINT) AS place, a[i] AS dict FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM s)"""
+_PRESET_CUTS_SQL = """
+WITH l(x) AS (VALUES ('cn'), ('hk'), ('hkp'), ('tw'), ('twp'), ('jp'), ('t')),
+p AS (SELECT a.x AS source, b.x AS target, a.x IN ('tw', 'twp') AS from_tw, b.x IN ('tw', 'twp') AS to_tw FROM l a, l b),
+w AS (SELECT *, CASE WHEN to_tw AND NOT from_tw THEN 'forward' WHEN from_tw AND target = 'cn' THEN 'reverse' END AS wanted FROM p)
+SELECT source, target, CASE WHEN source = 'cn' AND target IN ('tw', 'twp', 'hk', 'hkp') THEN 'STPhrases+STPhrases_GeneratedFromRegionalPhrases' WHEN source IN ('tw', 'twp', 'hk', 'hkp') AND target = 'cn' THEN 'TSPhrases' ELSE '' END AS dicts,
+  CASE WHEN 'twp' IN (source, target) THEN wanted END AS by_default, wanted, CAST(NULL AS VARCHAR) AS unwanted FROM w"""
+
+
 def _phrase_pairs() -> list[tuple[str, str]]:
     lines = (converter.DATA / "custom" / f"{presets.CUSTOM}.txt").read_text("utf-8").splitlines()
     return [tuple(x.split("\t")) for x in lines if "\t" in x and not x.startswith("#")]
@@ -337,7 +404,7 @@ def _html_sql(restored: bool) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (convert_custom, convert_many_rules, convert_characters, convert_two_steps, segment_text, convert_segmented, match_longest, phrases_forward, phrases_reverse, protected_layers, convert_regional, convert_one_way, fold_compatibility, strip_private_use, dict_merge, dict_reverse, dict_new, dict_conflicts, dict_summary, dict_drift, dict_pack, dict_unpack, dict_parse, dict_parse_custom, dict_manifest, dict_generate, parity, ablation, relate_upstream, bare_characters, html_pages, html_round_trip)}
+    return {f.__name__: f for f in (convert_streamed, preset_steps, preset_cuts, convert_custom, convert_many_rules, convert_characters, convert_two_steps, segment_text, convert_segmented, match_longest, phrases_forward, phrases_reverse, protected_layers, convert_regional, convert_one_way, fold_compatibility, convert_astral, strip_private_use, dict_sanitize, dict_empty, dict_candidates, dict_map, dict_merge, dict_reverse, dict_new, dict_conflicts, dict_summary, dict_drift, dict_pack, dict_unpack, dict_parse, dict_parse_custom, dict_manifest, dict_generate, parity, ablation, relate_upstream, bare_characters, html_pages, html_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -363,6 +430,9 @@ def oracle_sql() -> dict[str, str]:
         "relate_upstream": f"SELECT k AS key, v AS value, CASE WHEN k IN ({', '.join(map(_sql, upstream))}) THEN 'override' WHEN {_sql_direction('cn', 'twp', False)('k')} = v THEN 'equivalent' ELSE 'addition' END AS relation FROM {_sql_values(phrases)} AS p(k, v)",
         "html_pages": _html_sql(False),
         "html_round_trip": _html_sql(True),
+        "convert_streamed": f"SELECT conv_id, turn, {_sql_convert('text', RULES)} AS text FROM conversations",
+        "preset_steps": _PRESET_STEPS_SQL,
+        "preset_cuts": _PRESET_CUTS_SQL,
         "convert_custom": f"SELECT doc_id, {_sql_convert('text', RULES)} AS converted FROM documents",
         "convert_many_rules": f"SELECT doc_id, {_sql_convert('text', MANY)} AS converted FROM documents",
         "convert_characters": f"SELECT conv_id, turn, {han} AS converted FROM conversations",
@@ -373,7 +443,12 @@ def oracle_sql() -> dict[str, str]:
         "phrases_forward": f"SELECT doc_id, {_sql_convert(han, phrases)} AS converted FROM documents",
         "phrases_reverse": f"SELECT doc_id, {_sql_convert(f'translate(text, {_sql(LATIN)}, {_sql("捷運預設馬鈴薯冷氣")})', converter.reverse_pairs(phrases))} AS converted FROM documents",
         "protected_layers": "SELECT doc_id, " + _sql_protect("text", [("the", "X1"), ("ing", "X2")], lambda x: _sql_convert(x, [("th", "Y1"), ("on", "Y2"), ("n", "N"), ("t", "T")])) + " AS converted FROM documents",
-        "fold_compatibility": f"SELECT doc_id, nfc_normalize(translate(text, 'therinous', {_sql(odd)})) AS folded FROM documents",
+        "fold_compatibility": f"SELECT doc_id, nfc_normalize(translate(text, 'therinous', {_sql(odd)}) || {_sql(''.join(map(chr, COMPAT)))}) AS folded FROM documents",
+        "convert_astral": f"SELECT doc_id, {_sql_convert('t', ASTRAL)} AS converted, CAST(CASE WHEN k = '' THEN 0 ELSE 1 + length(k) END AS BIGINT) AS match_end FROM (SELECT doc_id, t, regexp_extract(substr(t, 2), {_sql(f'^(?s:({_sql_keys(ASTRAL)}))')}, 1) AS k FROM (SELECT doc_id, translate(text, 'the', '𠀀𪚥😀') AS t FROM documents))",
+        "dict_sanitize": f"WITH {_ENTRIES_SQL}, x AS (SELECT dict, ord, replace(replace(key, 'k', ''), '1', '') AS key, replace(replace(value, 'A', ''), 'B', '') AS value FROM e) SELECT * FROM x WHERE key <> '' AND value <> ''",
+        "dict_empty": "SELECT CAST(n_nationkey AS VARCHAR) AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 3 = 1)",
+        "dict_candidates": f"WITH l AS ({lines % 'replace(text, chr(44), chr(9))'}), f AS ({fields}), c AS (SELECT dict, ord, key, string_split({whole}, ' ') AS a FROM f WHERE tabbed) SELECT dict, ord * 1000000 + i - 1 AS ord, key, a[i] AS value FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM c) WHERE key <> '' AND a[i] <> ''",
+        "dict_map": f"WITH l AS ({lines % 'replace(text, chr(44), chr(9))'}), f AS ({fields}), p AS (SELECT dict, ord, key, {value} AS value FROM f WHERE key <> '' AND {value} <> '') SELECT dict, max(ord) AS ord, key, arg_max(value, ord) AS value FROM p GROUP BY dict, key",
         "strip_private_use": "SELECT conv_id, turn, regexp_replace(translate(text, 'the', chr(57344) || 't' || chr(63743)), '[\\x{E000}-\\x{F8FF}]', '', 'g') AS text FROM conversations",
         "dict_merge": f"WITH {_ENTRIES_SQL} SELECT key, arg_max(value, (CASE dict WHEN 'c' THEN 0 ELSE 1 END) * 1000000000 + ord) AS value FROM e GROUP BY key",
         "dict_reverse": "SELECT v AS key, coalesce(max(CASE WHEN k = v THEN k END), arg_min(k, o)) AS value FROM (SELECT o_orderkey AS o, CAST(o_orderkey % 50 AS VARCHAR) AS k, CAST(o_custkey % 20 AS VARCHAR) AS v FROM orders) GROUP BY v",
