@@ -4,7 +4,7 @@ A url's host labels and path parts are split into words: at every character that
 isn't a letter, and inside a run of letters by a unigram Viterbi search over known
 words, where an unknown word costs more the longer it is.  Multinomial naive Bayes
 scores the words for the classes allow and block; unknown words say nothing.  A url is
-blocked if its log-odds of block are above 0.
+blocked if its log-odds of block are above ``MARGIN``.
 
 Both models are learnt from the urls themselves, counted over all of them in Spark:
 
@@ -12,16 +12,16 @@ Both models are learnt from the urls themselves, counted over all of them in Spa
   counted by host, so that one busy site's name isn't a word; with ``SEED_WORDS`` they are
   at most ``MOST_WORDS``, those on the most hosts.
 * The classes are learnt from the urls whose verdict a rule gives, by host again and
-  without the words that the rule itself names, and from ``SEED_WORDS``.  Urls without
+  without the words that rules name, and from ``SEED_WORDS``.  Urls without
   rules get their verdict from these words.
 
 Rules come first: (host with path, verdict); a rule fits its host and every subdomain if
 the url's path starts with the rule's path, and the longest fitting rule wins.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no
-rule and is allowed; repeated urls get equal answers and count once for each host; equally
-good splits take the longer last word; urls are read whole, whatever their length, in time
-in proportion to it; an empty table gives no rows and a model of the seeds alone; columns of
+rule and is allowed; repeated urls get equal answers and count once for each host; of equally
+good splits one with an unknown last word wins, or else a longer one; urls are read whole, in time
+in proportion to their length; an empty table gives no rows and a model of the seeds alone; columns of
 ``pages`` stay, but for ones named like a result, which give way to it.
 """
 
@@ -55,12 +55,15 @@ SEED_WORDS = {
     ),
 }
 #: What a seed word counts as in its class, in hosts.
-SEED_HOSTS = 3
+SEED_HOSTS = 10
+#: Log-odds above which a url is blocked: common words differ a little between the classes by chance.
+MARGIN = 1.0
 MIN_HOSTS = 2
 MOST_WORDS = 100_000
-MOST_LETTERS = 24
+#: Shorter words are known only where they stand alone, longer ones not at all.
+LEAST_LETTERS, MOST_LETTERS = 3, 24
 #: What each letter of an unknown word costs beyond the rarest known one.
-_LETTER = 1.6
+_LETTER = 1.3
 _LETTERS = r"[^\W\d_]+"
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -75,7 +78,7 @@ class UrlModel:
 
     def __init__(self, hosts: dict[str, int] | None = None, block: dict[str, int] | None = None, allow: dict[str, int] | None = None, urls: tuple[int, int] = (0, 0), seeds: dict[str, tuple[str, ...]] | None = None):
         seeds = seeds or SEED_WORDS
-        words = dict(hosts or {})
+        words = {w: n for w, n in (hosts or {}).items() if len(w) >= LEAST_LETTERS}
         counts = {"block": dict(block or {}), "allow": dict(allow or {})}
         for c, own in seeds.items():
             for w in own:
@@ -117,7 +120,7 @@ class UrlModel:
         return [w for run in re.findall(_LETTERS, f"{host} {path}".lower()) for w in self.segment(run)]
 
     def log_odds(self, words: list[str]) -> float:
-        """Above 0 speaks for block."""
+        """Above 0 speaks for block; a url of unknown words has no more than that."""
         known = [self.odds[w] for w in words if w in self.odds]
         return self.prior + sum(known) if known else min(self.prior, 0.0)
 
@@ -150,11 +153,11 @@ def learn(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str],
     rows = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).where("host != ''")
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"\p{L}+"), F.lit(0))
-    named = F.regexp_extract_all(F.lower(F.coalesce("rule.rule", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    named = sorted({w for rule, _ in rules for w in re.findall(_LETTERS, rule.lower())})
     # by host first, so that a busy host counts once and its rows are gathered by no one task
-    pairs = rows.select("host", F.col("rule.verdict").alias("verdict"), F.explode(F.array_distinct(F.concat(runs, F.array(F.lit(""))))).alias("word"), named.alias("named"))
+    pairs = rows.select("host", F.col("rule.verdict").alias("verdict"), F.explode(F.array_distinct(F.concat(runs, F.array(F.lit(""))))).alias("word"))
     pairs = pairs.where(F.length("word") <= MOST_LETTERS)
-    told = F.when(F.array_contains("named", F.col("word")), None).otherwise(F.col("verdict"))
+    told = F.when(~F.col("word").isin(named), F.col("verdict"))
     by_host = pairs.groupBy("host", "word").agg(F.max(told == "block").cast("int").alias("block"), F.max(told == "allow").cast("int").alias("allow"))
     counts = by_host.groupBy("word").agg(F.count("*").alias("hosts"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     kept = counts.where((F.col("hosts") >= MIN_HOSTS) | (F.col("word") == "")).orderBy(F.col("word") != "", F.desc("hosts"), "word").limit(most_words + 1).collect()
@@ -188,7 +191,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, s
     score, rule, parts = (fresh(pages, x) for x in ("scored", "fits", "parts"))
     split = pages.withColumn(parts, F.struct(host_of(url).alias("host"), path_of(url).alias("path")))
     found = split.withColumn(score, scored(F.col(parts))).withColumn(rule, rule_for(F.col(parts)["host"], F.col(parts)["path"], rules))
-    verdict = F.coalesce(F.col(rule)["verdict"], F.when(F.col(score)["log_odds"] > 0, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col(rule)["verdict"], F.when(F.col(score)["log_odds"] > MARGIN, "block").otherwise("allow"))
     results = {"host": F.col(parts)["host"], "path": F.col(parts)["path"], "words": F.col(score)["words"], "log_odds": F.col(score)["log_odds"], "rule": F.col(rule)["rule"], "verdict": verdict}
     return found.select(*(F.col(f"`{c}`") for c in pages.columns if c not in results), *(c.alias(k) for k, c in results.items()))
 

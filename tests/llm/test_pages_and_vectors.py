@@ -63,7 +63,7 @@ def plain_rule(host, path):
 
 
 def test_urls(spark):
-    urls = [None, "", "x", "http://", "HTTP://WWW.Example.ORG/en/12?x#y", "http://example.org/es/1", "http://aexample.org/es/1", "https://x.com/fr/", "https://x.com?/fr/", "https://x.com/de/9#", "http://onlinepokerroom.net/a", "http://science-journal.net/a", "a://b::c/d", "http://org/", "http://x.org", "http://é.com/fr/x y", "http://qqzz.net/" + "ab" * 5000]
+    urls = [None, "", "x", "http://", "HTTP://WWW.Example.ORG/en/12?x#y", "http://example.org/es/1", "http://aexample.org/es/1", "https://x.com/fr/", "https://x.com?/fr/", "https://x.com/de/9#", "http://freecasino.net/a", "http://science-journal.net/a", "a://b::c/d", "http://org/", "http://x.org", "http://é.com/fr/x y", "http://qqzz.net/" + "ab" * 5000]
     df = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, Rule int")
     assert url_filter.judge_urls(df).columns == ["page_id", "url", "host", "path", "words", "log_odds", "rule", "verdict"]
     for r in url_filter.judge_urls(df).collect():
@@ -75,7 +75,7 @@ def test_urls(spark):
         rule = plain_rule(r["host"], path)
         assert (r["rule"], r["verdict"])[: 2 if rule else 1] == (rule or (None,))
     got = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge_urls(df).collect()}
-    assert got["http://onlinepokerroom.net/a"] == "block" and got["http://science-journal.net/a"] == got["http://qqzz.net/" + "ab" * 5000] == "allow" and got[None] == "allow"
+    assert got["http://freecasino.net/a"] == "block" and got["http://science-journal.net/a"] == got["http://qqzz.net/" + "ab" * 5000] == "allow" and got[None] == "allow"
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
@@ -85,7 +85,7 @@ def test_url_models_are_learnt(spark):
     urls += ["http://busy.com/de/dull/"] * 50 + ["http://x.net/zorp", "http://x.net/flimm", "http://x.net/de/1", "http://x.net/dull", "http://zorpflimm.net/", "http://zorpzorp.net/"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     model = url_filter.learn(df)
-    assert "zorp" in model.odds and "dull" not in model.odds and "de" not in model.odds and "com" not in model.odds
+    assert "zorp" in model.odds and "de" not in model.odds and "com" not in model.odds and abs(model.odds["dull"]) < url_filter.MARGIN
     got = {r["url"]: r for r in url_filter.judge_urls(df).collect()}
     assert [got[f"http://{x}"]["verdict"] for x in ("x.net/zorp", "x.net/flimm", "x.net/de/1", "x.net/dull", "zorpzorp.net/")] == ["block", "allow", "allow", "allow", "block"]
     assert got["http://zorpflimm.net/"]["words"] == ["zorp", "flimm", "net"]
@@ -98,7 +98,7 @@ def test_segmentation_is_the_most_probable():
     m = url_filter.UrlModel()
 
     def cost(word):
-        return m.log_word.get(word, -math.log(m.total) - 1.6 * len(word))
+        return m.log_word.get(word, -math.log(m.total) - 1.3 * len(word))
 
     def best(run):
         return max(cost(run[:n]) + best(run[n:]) for n in range(1, len(run) + 1)) if run else 0.0
