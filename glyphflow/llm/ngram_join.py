@@ -7,26 +7,34 @@ others reach a common tree as follows:
 * Sizes fall in classes whose bounds grow by one over the threshold, so two linked
   sets lie in the same class or in neighbouring ones.  For each class a set deals
   its shingles over as many segments, by hash, as two linked sets of that class can
-  differ in shingles, plus k: at least k segments of two linked sets are equal.  A set
-  with fewer than k segments of one shingle or none leaves those out, as one of the
-  fuller ones must be equal then.  A segment's digest is the only thing that is
-  shuffled; documents that meet in none can't be linked.  This is exact for every
-  threshold and needs no frequencies.
-* Documents that meet directly or through others are compared by a byte of each of
-  their segments' digests: linked ones have k bytes in common at least.  Those that
+  differ in shingles, plus k: at least k segments of two linked sets are equal, less those
+  that are empty, which stay at home.  A segment's digest is the only thing that is
+  shuffled.  This is exact for every threshold and needs no frequencies.
+* A set that shares fewer segments with any others than two linked sets share is
+  dropped.  Of its s shared segments, s - k + 1 stay, those that the fewest sets share:
+  two linked sets have one of these in common, as both order segments alike.  So
+  passages that many documents share lead no two of them together.
+* Documents that still meet, directly or through others, are compared by a byte of each
+  of their segments' digests: linked ones have k bytes in common at least.  Those that
   have, directly or through others, form a family.
 * Families, or tiles of two chunks of a large one, are joined in one task each: their ordered sets
   go into a path-compressed trie; a probe walks it, sharing the overlap counted so
   far among all sets below a node, and leaves a subtree when the shingles that
   remain on either side can't reach the threshold, or when all sets below are
-  already known to be connected with it.
+  already known to be connected with it.  Sets at a leaf are passed over if a bit map of
+  their shingles shows too many that the other one lacks.
 
 The join gives a spanning forest of the links, never all pairs of a group.  Each
 task settles what meets within its own batch before anything is shuffled.
 
+Shingles are told apart by 64-bit hashes, equal sets by 128 bits: that one of some 1,000
+shingles of a compared pair is taken for another has a chance of about 1 in 10**13.
+
 Defined results: a null or blank text has an empty set and no link; fewer words than
 the shingle's length are one shingle; rows that share an id are one document, linked
-to whatever one of them is linked to; a null id is the least.
+to whatever one of them is linked to; a null id is the least; only the id and the text
+are read, so other columns may have any name, and ``keep_first`` gives them back; an
+empty table gives no rows.  Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -36,16 +44,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NULL_ID, checkpoint, connected_components, table
+from .common import NULL_ID, checkpoint, connected_components, fresh, join_summary, table
 
 #: A tile's sets hold at most about twice so many shingles or documents (a single larger document is a chunk of its own).
 CHUNK_SHINGLES = 1_000_000
 CHUNK_DOCS = 2_000
 #: Sets of a chunk when marks are compared; a mark is a byte.
-CHUNK_MARKS = 4_000
+CHUNK_MARKS = 16_000
 
 
 def shingle_sets(w: hashing.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +108,7 @@ class Threshold:
 
 
 def _segments(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> Iterator[tuple[np.ndarray, ...]]:
-    """For a document's own class and the one before: (class, segments of each document, digests, fullness, and least number of equal ones)."""
+    """For a document's own class and the one before: (class, segments of each document, digests, which are empty, and least number of equal ones)."""
     size = np.bincount(row, minlength=n_docs)
     bounds = t.bounds(int(size.max(initial=1)))
     count, spare = t.segments(bounds)
@@ -112,20 +121,25 @@ def _segments(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> Iter
         keep = m[row] > 0
         r = row[keep]
         place = base[r] + (deal[keep] % m[r].astype(np.uint64)).astype(np.int64)
-        yield c, m, _summed(place, value[keep], int(m.sum())), np.bincount(place, minlength=int(m.sum())), spare[np.maximum(c, 0)]
+        yield c, m, _summed(place, value[keep], int(m.sum())), np.bincount(place, minlength=int(m.sum())) == 0, spare[np.maximum(c, 0)]
+
 
+def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> tuple[np.ndarray, ...]:
+    """(document, digest, role, need) of the segments of both classes of a document: role 0 in its own, 1 in the one before.
 
-def segment_digests(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(document, digest) of the segments of all classes a document takes part in, without weak ones where they can't matter."""
-    docs, digests = [], []
-    for c, m, total, filled, spare in _segments(row, h, n_docs, t):
+    Two linked sets have ``need`` of the digests in common at least: empty segments are
+    left out and taken off, unless they alone could be the equal ones.
+    """
+    out = []
+    for role, (c, m, total, empty, spare) in enumerate(_segments(row, h, n_docs, t)):
         doc = np.repeat(np.arange(n_docs), m)
-        weak = filled <= 1
-        sent = ~(weak & (np.bincount(doc[weak], minlength=n_docs) < spare)[doc])
-        seg = np.arange(len(doc)) - (np.cumsum(m) - m)[doc]
-        docs.append(doc[sent])
-        digests.append(hashing.mix(total + hashing.mix(c[doc].astype(np.uint64) * np.uint64(0x100000001) + seg.astype(np.uint64) + np.uint64(1)))[sent])
-    return np.concatenate(docs), np.concatenate(digests)
+        n_empty = np.bincount(doc[empty], minlength=n_docs)
+        left_out = n_empty < spare
+        sent = ~(empty & left_out[doc])
+        doc, seg = doc[sent], (np.arange(len(doc)) - (np.cumsum(m) - m)[doc])[sent]
+        digest = hashing.mix(total[sent] + hashing.mix(c[doc].astype(np.uint64) * np.uint64(0x100000001) + seg.astype(np.uint64) + np.uint64(1)))
+        out.append((doc, digest, np.full(len(doc), role, np.int8), np.where(left_out, spare - n_empty, spare)[doc].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def segment_marks(row: np.ndarray, h: np.ndarray, n_docs: int, t: Threshold) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -163,42 +177,36 @@ def _sets(n: int, t: Threshold):
     return emit
 
 
-def _first_of(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the least value of its key, and which rows are the one that stands for the key."""
-    order = np.lexsort((value, key))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    least, stands = np.empty_like(value), np.zeros(len(value), dtype=bool)
-    least[order] = value[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-    stands[order[new]] = True
-    return least, stands
-
-
-def _meetings(n: int, t: Threshold):
-    """key, a, b: the digest ``key`` of a segment of ``a`` (b null), or that ``a`` and ``b`` met within the batch."""
+def _shared_segments(n: int, t: Threshold):
+    """(key, node, role, need): the digests of each set's segments; a node is a set's first digest, and equal sets of a slice are one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _column(batch, "id").to_numpy()
-            docs, digests = [], []
             for w in hashing.word_slices(_column(batch, "text"), hashing.LOWER):
                 row, h = shingle_sets(w, n)
-                d, x = segment_digests(row, h, w.n_docs, t)
-                docs.append(d + w.first_row)
-                digests.append(x)
-            if not docs:
-                continue
-            doc, key = ids[np.concatenate(docs)], np.concatenate(digests)
-            least, stands = _first_of(key, doc)
-            met = np.unique(np.stack((doc[doc != least], least[doc != least]), axis=1), axis=0)
-            deal = hashing.mix(met[:, 0].astype(np.uint64))
-            a = np.concatenate((doc[stands], met[:, 0]))
-            b = pa.array(np.concatenate((np.zeros(stands.sum(), np.int64), met[:, 1])), mask=np.arange(len(a)) < stands.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key[stands], deal)).view(np.int64)), pa.array(a), b], names=["key", "a", "b"])
+                node, _ = set_digests(row, h, w.n_docs)
+                first = np.zeros(w.n_docs, dtype=bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                mine = first[row]
+                doc, key, role, need = segment_digests(row[mine], h[mine], w.n_docs, t)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[doc].view(np.int64)), pa.array(role), pa.array(need)], names=["key", "node", "role", "need"])
 
     return emit
 
 
+def meetings(rows: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """(a, b): nodes of ``rows`` (text) that may be linked, directly or through others."""
+    by_key, by_half = W.partitionBy("key"), W.partitionBy("node", "role")
+    met = rows.mapInArrow(_shared_segments(n, t), "key bigint, node bigint, role tinyint, need int").repartition("key")
+    met = met.withColumns({"sharing": F.count("*").over(by_key), "several": F.min("node").over(by_key) != F.max("node").over(by_key), "own": F.min("role").over(by_key) == 0})
+    # two sets that both come from the next class are compared there
+    halves = met.where("several and own").repartition("node", "role").groupBy("node", "role", "key").agg(F.first("need").alias("need"), F.first("sharing").alias("sharing"))
+    halves = halves.withColumns({"shared": F.count("*").over(by_half), "rank": F.row_number().over(by_half.orderBy("sharing", "key"))})
+    rare = checkpoint(halves.where("shared >= need and rank <= shared - need + 1").select("key", "node"))
+    least = rare.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "least")
+    return join_summary(rare, least, ["key"]).select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
+
+
 def _common_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): a spanning forest of the pairs of a tile that have enough marks in common.
 
@@ -212,15 +220,26 @@ def _common_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         role, chunk = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         marks = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
         least, label, forest = rows[0][3], np.arange(len(rows)), []
-        for i in np.flatnonzero(role == 0).tolist():
-            near = (marks == marks[i]).sum(axis=1) >= least
-            if key[2] != key[3]:
-                near &= chunk != chunk[i]
-            have, at = np.unique(label[near], return_index=True)
-            for old, j in zip(have.tolist(), np.flatnonzero(near)[at].tolist()):
+
+        def join(i: int, others: np.ndarray) -> None:
+            others = others[(marks[others] == marks[i]).sum(axis=1) >= least]
+            have, at = np.unique(label[others], return_index=True)
+            for old, j in zip(have.tolist(), others[at].tolist()):
                 if old != label[i]:
                     forest.append((int(ids[i]), int(ids[j])))
                     label[label == old] = label[i]
+
+        hub = None  # of what is most likely a large component: first, so that the rest of it need not be looked at
+        for i in np.flatnonzero(role == 0).tolist():
+            if hub is not None and label[hub] != label[i] and (key[2] == key[3] or chunk[hub] != chunk[i]):
+                join(i, np.array([hub]))
+            other = label != label[i]
+            if key[2] != key[3]:
+                other &= chunk != chunk[i]
+            had = len(forest)
+            join(i, np.flatnonzero(other))
+            if len(forest) > had:
+                hub = int(np.flatnonzero(label == label[i])[-1])
         return forest
 
     def out(forest: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -262,10 +281,27 @@ class _Node:
 
 
 class PrefixTree:
-    """Ordered sets in a path-compressed trie; ``link`` probes it and then adds the set."""
+    """Ordered sets of at most ``largest`` shingles in a path-compressed trie; ``link`` probes it and then adds the set."""
 
-    def __init__(self, t: Threshold):
+    def __init__(self, t: Threshold, largest: int):
         self.t, self.root, self.sets, self.parent = t, _Node(np.zeros(0, np.uint64)), [], []
+        self.bits = 1 << max(9, min(16, (8 * largest - 1).bit_length()))
+        self.maps, self.sizes = np.zeros((16, self.bits // 64), dtype=np.uint64), np.zeros(16, dtype=np.int64)
+
+    def _mapped(self, x: np.ndarray) -> np.ndarray:
+        on = np.zeros(self.bits, dtype=bool)
+        on[(x & np.uint64(self.bits - 1)).astype(np.int64)] = True
+        return np.packbits(on).view(np.uint64)
+
+    def _possible(self, own: np.ndarray, size: int) -> list[bool]:
+        """Which earlier sets may be linked: a bit that only one of two maps has is a shingle that only that set has."""
+        n = len(self.sets)
+        sizes = self.sizes[:n]
+        need = -(-self.t.num * (size + sizes) // (self.t.num + self.t.den))
+        out = np.bitwise_count(own & ~self.maps[:n]).sum(axis=1, dtype=np.int64) <= size - need
+        some = np.flatnonzero(out)
+        out[some] = np.bitwise_count(self.maps[some] & ~own).sum(axis=1, dtype=np.int64) <= (sizes - need)[some]
+        return out.tolist()
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -275,14 +311,20 @@ class PrefixTree:
 
     def link(self, x: np.ndarray) -> list[int]:
         """Adds the set; returns earlier sets that it is linked with, one of each component at least."""
-        me = len(self.sets)
+        me, own = len(self.sets), self._mapped(x)
+        possible = self._possible(own, len(x))
+        if me == len(self.maps):
+            self.maps, self.sizes = (np.concatenate((a, np.zeros_like(a))) for a in (self.maps, self.sizes))
+        self.maps[me], self.sizes[me] = own, len(x)
         self.sets.append(x)
         self.parent.append(me)
         out = []
         t, size = self.t, len(x)
-        todo = [(self.root, 0, 0)]
+        todo = [(self.root, 0, 0)] if any(possible) else []
         while todo:
             node, depth, shared = todo.pop()
+            if not node.children and not any(possible[k] for k in node.ends):
+                continue
             if len(node.roots) > 1:
                 node.roots = {self.find(r) for r in node.roots}
             if not node.roots or (len(node.roots) == 1 and self.find(next(iter(node.roots))) == self.find(me)):
@@ -333,8 +375,8 @@ class PrefixTree:
 
 def _tree_join(t: Threshold):
     def join(ids: list[int], grams: list[bytes]) -> list[tuple[int, int]]:
-        tree, links = PrefixTree(t), []
         sets = [np.frombuffer(g, dtype=np.uint64) for g in grams]
+        tree, links = PrefixTree(t, max(map(len, sets), default=1)), []
         order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
         for i in order:
             links += [(ids[i], ids[order[k]]) for k in tree.link(sets[i])]
@@ -369,23 +411,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t = Threshold(*threshold)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     sets = checkpoint(rows.mapInArrow(_sets(n, t), "id bigint, n bigint, h1 bigint, h2 bigint, marks array<struct<class:int,role:int,least:int,marks:binary>>"))
-    equal = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = checkpoint(sets.where("n > 0").join(equal.hint("merge"), ["h1", "h2"]).select("id", "rep", "n").distinct())
-
-    met = rows.where("text is not null").mapInArrow(_meetings(n, t), "key bigint, a bigint, b bigint").repartition("key")
-    met = met.selectExpr("a", "coalesce(b, min(if(b is null, a, null)) over (partition by key)) as b").where("a != b").distinct()
-    to_a, to_b = (reps.groupBy("id").agg(F.min("rep").alias("rep")).select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
-    meetings = met.join(to_a, "a").join(to_b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    met_by = connected_components(meetings).select("id", F.col("component_id").alias("family"))
-    marked = sets.where("n > 0").join(met_by, "id").dropDuplicates(["id", "h1", "h2"]).select("family", "id", F.explode("marks").alias("m")).select("family", "id", "m.*")
+    nodes = checkpoint(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "marks"), "id").alias("set")).select("h1", "h2", "rep", "set.*"))
+
+    met_by = connected_components(meetings(rows.where("text is not null").select("text"), n, t)).select(F.col("id").alias("h1"), F.col("component_id").alias("family"))
+    marked = nodes.join(met_by, "h1").select("family", F.col("rep").alias("id"), F.explode("marks").alias("m")).select("family", "id", "m.*")
     several = marked.groupBy("family", "class").agg(F.count("*").alias("rows")).where("rows > 1").select("family", "class", F.ceil(F.col("rows") / CHUNK_MARKS).cast("int").alias("chunks"))
-    marked = marked.join(several.hint("merge"), ["family", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    marked = join_summary(marked, several, ["family", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     marked = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     marked = marked.select("family", "class", "low", "high", "id", "role", "chunk", "least", "marks").repartition("family", "class", "low", "high").sortWithinPartitions("family", "class", "low", "high")
     alike = connected_components(marked.mapInArrow(_common_marks, "a bigint, b bigint"))
-    families = alike.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id").select("id", "n", F.col("component_id").alias("family"))
+    families = alike.join(nodes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id").select("id", "n", F.col("component_id").alias("family"))
     size = families.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_DOCS)).cast("int").alias("chunks"))
-    families = families.join(size.hint("merge"), "family").select("id", "family", "chunks")
+    families = join_summary(families, size, ["family"]).select("id", "family", "chunks")
 
     grams = rows.where("text is not null").join(families, "id").select("family", "chunks", "id", "text").mapInArrow(_family_sets(n), "family bigint, chunks int, id bigint, grams binary")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -394,18 +431,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = tiles.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "id")
     links = tiles.mapInArrow(_tree_join(t), "a bigint, b bigint")
 
-    same = reps.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    component = connected_components(links.unionByName(same))
+    # a document is in the node of each of its rows; what joins nodes are links and documents with several of them
+    member = checkpoint(join_summary(sets.where("n > 0").select("id", "h1", "h2"), nodes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())
+    twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("id")
+    bridges = member.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    component = connected_components(links.unionByName(bridges)).withColumnRenamed("id", "rep")
+    label = member.join(component.hint("merge"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     null_again = lambda c: F.when(c != NULL_ID, c)
-    out = sets.join(component, "id", "left")
+    out = join_summary(sets.select("id", "n"), label, ["id"], "left")
     return out.select(null_again(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null_again(F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the row of the least id of each group, with its own columns; rows without a link stay."""
     found = jaccard_components(docs, id_col, text_col, **options)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    name = fresh(docs, "kept")
+    kept = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
