@@ -50,7 +50,7 @@ ARTICLE_SHARE = 0.5
 #: Outside an article, so many pages are enough on a host of any size; text blocks of fewer words recur by chance.
 MANY_PAGES = 100
 CHANCE_WORDS = 4
-_OUTSIDE, _SHORT, _INSIDE = 0, 1, 2
+_PAGE, _OUTSIDE, _SHORT, _INSIDE = -1, 0, 1, 2
 _RANKS = 3
 BROADCAST_KEYS = 500_000
 
@@ -308,28 +308,30 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(_column(batch, "host"), _column(batch, "html")):
             root = parse(page)
             texts = Surroundings(root)
-            for key, inside, e in [(0, False, None), *candidates(root, host)]:  # key 0 counts the host's pages
-                place = _INSIDE if inside else _SHORT if e and e.tag in _TEXT_BLOCKS and texts.n_words(e) < CHANCE_WORDS else _OUTSIDE
-                hosts += [host] * _RANKS
+            own = _key(host, b"")  # counts the host's pages
+            for key, inside, e in [(own, False, None), *candidates(root, host)]:
+                place = _PAGE if e is None else _INSIDE if inside else _SHORT if e.tag in _TEXT_BLOCKS and texts.n_words(e) < CHANCE_WORDS else _OUTSIDE
+                hosts += [own] * _RANKS
                 keys += [key] * _RANKS
                 places += [place] * _RANKS
                 ranks += range(_RANKS)
                 around += texts.outside(e)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int32()), pa.array(around, pa.int64())], names=["host", "key", "place", "rank", "around"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int8()), pa.array(ranks, pa.int8()), pa.array(around, pa.int64())], names=["host", "key", "place", "rank", "around"])
 
 
 def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(key): host-bound hashes of the template subtrees, from all pages."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_hashes, "host string, key bigint, place int, rank int, around bigint")
-    # different surroundings first, so that a page crawled many times counts once and no key gathers the rows of its copies
-    counts = seen.groupBy("host", "key", "rank", "around").agg(F.max("place").alias("place")).groupBy("host", "key", "rank").agg(F.count("*").alias("n"), F.max("place").alias("place"))
-    counts = counts.groupBy("host", "key").agg(F.sort_array(F.collect_list("n"))[_RANKS // 2].alias("n"), F.max("place").alias("place"))
-    counts = checkpoint(counts.where((F.col("key") == 0) | (F.col("n") >= min_pages)))
-    size = counts.where("key = 0").select("host", F.col("n").alias("pages"))
+    seen = rows.mapInArrow(_hashes, "host bigint, key bigint, place tinyint, rank tinyint, around bigint")
+    # different surroundings first, so that a page crawled many times counts once and no key gathers the rows of its copies; a key is of one host
+    one = F.max("place").alias("place"), F.min("host").alias("host")
+    counts = seen.groupBy("key", "rank", "around").agg(*one).groupBy("key", "rank").agg(F.count("*").alias("n"), *one)
+    counts = counts.groupBy("key").agg(F.sort_array(F.collect_list("n"))[_RANKS // 2].alias("n"), *one)
+    counts = checkpoint(counts.where((F.col("place") == _PAGE) | (F.col("n") >= min_pages)))
+    size = counts.where(F.col("place") == _PAGE).select("host", F.col("n").alias("pages"))
     needed = F.col("pages") * F.when(F.col("place") == _INSIDE, article_share).otherwise(min_share)
     needed = F.when(F.col("place") == _OUTSIDE, F.least(needed, F.lit(float(many_pages)))).otherwise(needed)
-    return counts.where("key != 0").join(size, "host").where(F.col("n") >= needed).select("key").distinct()
+    return counts.where(F.col("place") != _PAGE).join(size, "host").where(F.col("n") >= needed).select("key").distinct()
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
