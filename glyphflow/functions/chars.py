@@ -32,7 +32,8 @@ def _compat_pairs() -> dict[int, str]:
 COMPAT = _compat_pairs()
 
 
-_ANY_COMPAT = re.compile("[" + "".join(map(chr, COMPAT)) + "]")
+# the blocks' bounds: a class of single characters beyond the basic plane is searched one by one
+_ANY_COMPAT = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _COMPAT_BLOCKS) + "]")
 
 
 def fold_compat(column: Column) -> Column:
