@@ -6,6 +6,8 @@ import zlib
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from glyphflow.llm.common import checkpoint
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -17,7 +19,7 @@ def test_stages(spark, sf):
     sample = sample.unionByName(spark.createDataFrame(extra, docs.schema))
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        sample = stage(spark, sample, sf).localCheckpoint()
+        sample = checkpoint(stage(spark, sample, sf))
         kept[name] = {r["doc_id"]: r for r in sample.collect()}
         if name != "pieces":
             assert sample.columns == COLUMNS
