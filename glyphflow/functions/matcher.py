@@ -3,9 +3,8 @@
 A matcher is a set of rules key -> value.  As a column expression it is ``translate`` if
 keys and values are single characters, and an Arrow UDF over the broadcast rules
 otherwise.  A tokenising regular expression with a literal map, which stays in the JVM, is
-there up to ``NATIVE_RULES`` rules for those who want it; it was slower at every size in
-our measurements, as Spark's map lookups are linear and its tokens rows of an array.  All
-agree with ``convert_text``.
+there up to ``NATIVE_RULES`` rules for those who want it; Spark's map lookups are linear
+and its tokens rows of an array.  All agree with ``convert_text``.
 
 In Python, keys are found by one compiled pattern: the keys' trie as nested groups if
 they begin with at most ``TRIE_STARTS`` different characters, and else the class of their
