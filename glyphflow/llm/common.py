@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 #: So many edges, counted first, may be joined in one task: 16 MB.
 ONE_TASK_EDGES = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage there.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where all runs in one
     process, as in tests, a temporary folder stands for it: elsewhere executors couldn't
-    see each other's files there.
+    see each other's files there.  With ``drop_shuffles`` the shuffle files that led to
+    it are deleted as soon as it is written; else they stay until the driver happens to
+    collect its garbage.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -34,7 +37,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    if not drop_shuffles:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query takes the setting when it is made
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def without(df: DataFrame, results: tuple[str, ...], *own: str) -> DataFrame:

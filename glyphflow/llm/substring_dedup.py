@@ -20,6 +20,7 @@ Each task first settles what repeats within its own batch, so a passage that a
 third of all documents share sends one row per batch, not one per document.  The
 levels shuffle hashes and positions; texts are shuffled once, to meet the surviving
 contexts and then the removed ranges of their document, by id and 128 bits of the text.
+A level's shuffle files are deleted once its survivors are written.
 
 Defined results: a null text has no words and keeps none; a document shorter than
 the window loses nothing; a null id sorts before all others; rows with the same id
@@ -43,6 +44,9 @@ from .common import NULL_ID, checkpoint, table
 WINDOW = 20
 #: The first level's windows have so many words or, if the window can't be halved to that, up to twice as many.
 LEAST = 5
+ROW = ["id", "k1", "k2"]
+#: In the sign of a place (first word, end): nothing has to be looked up any more, the range goes.
+GONE = np.int64(-1 << 63)
 
 
 def _later(doc: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -121,13 +125,12 @@ def _anchors(window: int):
             key = hashing.mix(ids[r].view(np.uint64) + a.astype(np.uint64))  # deals the ranges that need no more look out evenly
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((np.zeros(stay.sum(), np.int8), np.ones(len(r), np.int8)))),
+                    pa.array(np.concatenate((lo[stay] << 32 | hi[stay], a << 32 | b | GONE))),
                     pa.array(np.concatenate((context[stay], key)).view(np.int64)),
                     *(pa.array(x[np.concatenate((row[stay], r))]) for x in (ids, *keys)),
-                    pa.array(np.concatenate((lo[stay], a)) << 32 | np.concatenate((hi[stay], b))),
                     *(pa.array(np.concatenate((g[stay], key)).view(np.int64)) for g in grams),
                 ],
-                names=["gone", "context", "id", "k1", "k2", "place", *(f"anchor{n}" for n in lengths)],
+                names=["place", "context", *ROW, *(f"anchor{n}" for n in lengths)],
             )
 
     return emit
@@ -158,14 +161,12 @@ def _full_windows(window: int):
     return emit
 
 
-ROW = ["id", "k1", "k2"]
-
-
 def removed_ranges(rows: DataFrame, window: int) -> DataFrame:
     """(id, k1, k2, lo, hi): word ranges to remove of ``rows`` (id, k1, k2, text); ranges may overlap."""
     lengths = level_lengths(window)
-    live = rows.mapInArrow(_anchors(window), "gone tinyint, context bigint, id bigint, k1 bigint, k2 bigint, place bigint, " + ", ".join(f"anchor{n} bigint" for n in lengths))
-    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    live = rows.mapInArrow(_anchors(window), "place bigint, context bigint, id bigint, k1 bigint, k2 bigint, " + ", ".join(f"anchor{n} bigint" for n in lengths))
+    gone, low = F.col("place") < 0, F.lit(0x7FFFFFFF)
+    start, end = F.shiftright("place", 32).bitwiseAND(low).cast("int"), F.col("place").bitwiseAND(low).cast("int")
     settled = []
     for n in lengths:
         anchor = f"anchor{n}"
@@ -173,14 +174,16 @@ def removed_ranges(rows: DataFrame, window: int) -> DataFrame:
         by_anchor = W.partitionBy(anchor)
         several = F.min("context").over(by_anchor) != F.max("context").over(by_anchor)
         if n == lengths[0]:  # equal contexts have equal anchors of all lengths: they meet here already
-            rank = F.rank().over(W.partitionBy(anchor, "context", "gone").orderBy("id", start))
-            live = live.withColumns({"rank": rank, "several": several}).withColumn("gone", (F.col("gone") == 1) | (F.col("rank") > 1)).where("gone or several").drop("rank", "several")
+            rank = F.rank().over(W.partitionBy(anchor, "context", gone).orderBy("id", start))
+            live = live.withColumns({"rank": rank, "several": several}).withColumn("place", F.when(F.col("rank") > 1, F.col("place").bitwiseOR(F.lit(int(GONE)))).otherwise(F.col("place")))
+            live = live.where(gone | F.col("several")).drop("rank")
         else:
-            live = live.withColumn("several", several).where("several").drop("several")
-        live = checkpoint(live)
+            live = live.withColumn("several", several).where("several")
+        # a spent anchor goes, and so do the level's shuffle files: the next level's need not stand beside them
+        live = checkpoint(live.drop("several", anchor), drop_shuffles=True)
         if n == lengths[0]:
-            settled.append(live.where("gone").select(*ROW, start.alias("lo"), end.alias("hi")))
-            live = live.where("not gone")
+            settled.append(live.where(gone).select(*ROW, start.alias("lo"), end.alias("hi")))
+            live = live.where(~gone)
     survivors = live.groupBy(*ROW).agg(F.collect_list(F.struct(start.alias("lo"), end.alias("hi"))).alias("ranges"))
     full = rows.join(survivors, ROW).select(*ROW, "text", "ranges").mapInArrow(_full_windows(window), "gone boolean, h1 bigint, h2 bigint, id bigint, k1 bigint, k2 bigint, lo int, hi int")
     later = full.withColumn("rank", F.rank().over(W.partitionBy("h1", "h2", "gone").orderBy("id", "lo"))).where("gone or rank > 1")

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from glyphflow.llm import decontaminate, language_id, ngram_join, pii, sentence_pieces, sharding, substring_dedup
+from glyphflow.llm import common, decontaminate, language_id, ngram_join, pii, sentence_pieces, sharding, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, unit string, batch string, rows string, a int, shard string"
@@ -89,6 +91,19 @@ def test_substring_dedup_edges(spark, nothing):
     assert [r["n_removed"] for r in same] == [0, 0]
 
 
+def test_substring_dedup_drops_the_shuffles_of_its_levels(spark, docs):
+    """A level's shuffle files don't stay beside those of the next ones until the driver collects its garbage."""
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for f in folders for p in Path(f).glob("*/shuffle_*.data")}
+    setting, before = spark.conf.get(common._CLEANUP, None), files()
+    found = substring_dedup.dedup_substrings(docs)
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:  # they are deleted in the background
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common._CLEANUP, None) == setting
+    assert found.count() == len(ROWS) and files() - before  # the caller's own query keeps its files
+
+
 def plain_components(rows, n, num, den):
     sets = {}
     for i, t in rows:
