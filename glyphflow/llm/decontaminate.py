@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import checkpoint, fresh, join_summary
+from .common import checkpoint, fresh, giving_back, join_summary
 
 WINDOW = 10
 BLOCK_WINDOWS = 1_000_000
@@ -132,7 +132,7 @@ def _scan(rows: DataFrame, items: _Items, hits_only: bool = False) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["record", "n_words", "spans", "n_hit", "items"])
             yield out.filter(pa.array([n > 0 for n in n_hit], pa.bool_())) if hits_only else out
 
-    return rows.mapInArrow(scan, T.StructType([rows.schema["record"], *_FOUND]))
+    return rows.mapInArrow(giving_back(scan), T.StructType([rows.schema["record"], *_FOUND]))
 
 
 def _united(spans: list) -> list:
@@ -175,7 +175,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, text_col: str, item_co
     # an empty block counts the words of every text
     counted = _scan(keyed.select(F.struct("record", "k1", "k2").alias("record"), "text"), _Items([], window)).select("record.*", "n_words")
     met = join_summary(counted, hits, ["k1", "k2"], "left").select("record", "n_words", "spans", "items")
-    return met.mapInArrow(_unite, T.StructType([rows.schema["record"], *_FOUND]))
+    return met.mapInArrow(giving_back(_unite), T.StructType([rows.schema["record"], *_FOUND]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_fraction: float
             columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*own, F.col("spans").alias(fresh(docs, "spans"))).mapInArrow(cut, docs.schema)
+    return found.select(*own, F.col("spans").alias(fresh(docs, "spans"))).mapInArrow(giving_back(cut), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import crc32_of, fresh, table, without
+from .common import crc32_of, fresh, giving_back, table, without
 
 SEGMENT = 64
 HIDDEN = 8
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", into:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *into])
 
     schema = T.StructType([*docs.schema, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
-    return source.mapInArrow(emit, schema)
+    return source.mapInArrow(giving_back(emit), schema)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:

@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NULL_ID, checkpoint, connected_components, fresh, join_summary, table
+from .common import NULL_ID, checkpoint, connected_components, fresh, giving_back, join_summary, table
 
 #: A tile's sets hold at most about twice so many shingles or documents (a single larger document is a chunk of its own).
 CHUNK_SHINGLES = 1_000_000
@@ -197,7 +197,7 @@ def _shared_segments(n: int, t: Threshold):
 def meetings(rows: DataFrame, n: int, t: Threshold) -> DataFrame:
     """(a, b): nodes of ``rows`` (text) that may be linked, directly or through others."""
     by_key, by_half = W.partitionBy("key"), W.partitionBy("node", "role")
-    met = rows.mapInArrow(_shared_segments(n, t), "key bigint, node bigint, role tinyint, need int").repartition("key")
+    met = rows.mapInArrow(giving_back(_shared_segments(n, t)), "key bigint, node bigint, role tinyint, need int").repartition("key")
     met = met.withColumns({"sharing": F.count("*").over(by_key), "several": F.min("node").over(by_key) != F.max("node").over(by_key), "own": F.min("role").over(by_key) == 0})
     # two sets that both come from the next class are compared there
     halves = met.where("several and own").repartition("node", "role").groupBy("node", "role", "key").agg(F.first("need").alias("need"), F.first("sharing").alias("sharing"))
@@ -410,7 +410,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_shingles, component_id (the least id that links reach)."""
     t = Threshold(*threshold)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = checkpoint(rows.mapInArrow(_sets(n, t), "id bigint, n bigint, h1 bigint, h2 bigint, marks array<struct<class:int,role:int,least:int,marks:binary>>"))
+    sets = checkpoint(rows.mapInArrow(giving_back(_sets(n, t)), "id bigint, n bigint, h1 bigint, h2 bigint, marks array<struct<class:int,role:int,least:int,marks:binary>>"))
     nodes = checkpoint(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "marks"), "id").alias("set")).select("h1", "h2", "rep", "set.*"))
 
     met_by = connected_components(meetings(rows.where("text is not null").select("text"), n, t)).select(F.col("id").alias("h1"), F.col("component_id").alias("family"))
@@ -419,17 +419,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = join_summary(marked, several, ["family", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     marked = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     marked = marked.select("family", "class", "low", "high", "id", "role", "chunk", "least", "marks").repartition("family", "class", "low", "high").sortWithinPartitions("family", "class", "low", "high")
-    alike = connected_components(marked.mapInArrow(_common_marks, "a bigint, b bigint"))
+    alike = connected_components(marked.mapInArrow(giving_back(_common_marks), "a bigint, b bigint"))
     families = alike.join(nodes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id").select("id", "n", F.col("component_id").alias("family"))
     size = families.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_DOCS)).cast("int").alias("chunks"))
     families = join_summary(families, size, ["family"]).select("id", "family", "chunks")
 
-    grams = rows.where("text is not null").join(families, "id").select("family", "chunks", "id", "text").mapInArrow(_family_sets(n), "family bigint, chunks int, id bigint, grams binary")
+    grams = rows.where("text is not null").join(families, "id").select("family", "chunks", "id", "text").mapInArrow(giving_back(_family_sets(n)), "family bigint, chunks int, id bigint, grams binary")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     tiles = grams.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.select("family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "id", "grams")
     tiles = tiles.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "id")
-    links = tiles.mapInArrow(_tree_join(t), "a bigint, b bigint")
+    links = tiles.mapInArrow(giving_back(_tree_join(t)), "a bigint, b bigint")
 
     # a document is in the node of each of its rows; what joins nodes are links and documents with several of them
     member = checkpoint(join_summary(sets.where("n > 0").select("id", "h1", "h2"), nodes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import table, without
+from .common import giving_back, table, without
 
 LONG_UNIT = 1024
 #: Least number of buckets, and how many there are for each task of the lattice if that gives more.
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(texts)).astype(np.int32)), texts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), key), pa.int64()), pa.array(bucket, pa.int32()), pc.binary_join(lists, _MARK)], names=["batch", "bucket", "units"])
 
-    dealt = docs.select(text_col).mapInArrow(units_of, "batch bigint, bucket int, units string").repartition(partitions, "bucket")
+    dealt = docs.select(text_col).mapInArrow(giving_back(units_of), "batch bigint, bucket int, units string").repartition(partitions, "bucket")
     # the batch goes along so that both readers of the dealt units have the same columns and share one exchange
     unit = F.when(F.col("unit") == "", F.lit(_MARK)).otherwise(F.col("unit")).alias("unit")
     exploded = dealt.select(F.col("bucket").alias("bucket"), F.col("batch").alias("seen"), F.explode(F.split("units", _MARK)).alias("unit")).select("bucket", "seen", unit)
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
                 writer.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([None], pa.int32()), pa.array([squeeze.compress(sink.getvalue())], pa.binary()), pa.array([None], pa.binary())], names=["batch", "bucket", "counts", "ids"])
 
-    blobs = docs.mapInArrow(packed, "batch bigint, bucket int, counts binary, ids binary")
+    blobs = docs.mapInArrow(giving_back(packed), "batch bigint, bucket int, counts binary, ids binary")
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by batch: the answers by bucket, then the packed rows."""
@@ -406,7 +406,7 @@ def encode(docs: DataFrame, text_col: str = "text", pieces: Pieces | None = None
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", piece_ids array<int>"
     met = answers.unionByName(blobs).repartition(partitions, "batch").sortWithinPartitions("batch", F.asc_nulls_last("bucket"))
-    return met.mapInArrow(looked_up, schema)
+    return met.mapInArrow(giving_back(looked_up), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", pieces: Pieces | None = None) -> DataFrame:
